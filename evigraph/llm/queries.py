@@ -6,6 +6,7 @@ import importlib
 
 #: Module and function of each query.
 _WHERE = {
+    "op3_sharding": "shards",
     "op2_sentencepiece": "sp_wfst",
 }
 
