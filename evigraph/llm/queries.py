@@ -7,6 +7,7 @@ import importlib
 #: Module and function of each query.
 _WHERE = {
     "op3_sharding": "shards",
+    "op6_quality_classifier": "quality_zstd",
     "op2_sentencepiece": "sp_wfst",
 }
 
