@@ -44,7 +44,7 @@ def fit(x, y, monotone=None, trees: int = 60, depth: int = 3, rate: float = 0.15
     x, y = np.asarray(x, float), np.asarray(y, float)
     n, m = x.shape
     monotone = [0] * m if monotone is None else list(monotone)
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.empty(0) for j in range(m)]
     where = np.column_stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)]) if n else np.empty((0, m), int)
     share = min(max((y.sum() + 1) / (n + 2), 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))

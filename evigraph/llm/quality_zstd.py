@@ -3,12 +3,13 @@
 Two zstandard dictionaries are trained on labelled text. A text is cut into pieces of ``PIECE`` bytes
 (all of it; short pieces keep the text's own history from hiding what the dictionaries add), each piece
 is compressed with both, and ``(bytes with bad - bytes with good) / bytes of text`` is the normalised
-difference. A logistic curve fitted on labelled rows that the dictionaries have not seen makes it a
-score.
+difference. A logistic curve fitted on labelled rows that the dictionaries have not seen, weighed as
+the classes are in all labels, makes it a score. A short text says little, so its margin is drawn to that of the
+classes' shares: ``HALF`` bytes have half the weight of a long text.
 
 Fitting takes at most ``PER_CLASS`` labelled documents of each class and at most ``TRAIN_BYTES`` of
-each such text; scoring takes every whole text. Null and empty texts have difference 0 and the score
-that the curve gives to it. Where labelled rows of one class are missing, every score is the smoothed share of
+each such text; scoring takes every whole text. Null and empty texts score
+the share of good labels. Where labelled rows of one class are missing, every score is the smoothed share of
 good rows. Repeated rows get equal scores; other columns pass through.
 """
 
@@ -26,21 +27,23 @@ from .common import table
 PER_CLASS, TRAIN_BYTES = 3000, 8192
 DICTIONARY, PIECE, LEVEL = 32768, 1500, 3
 THRESHOLD = 0.7
+HALF = 150
 
 
 class Model:
     """Dictionaries and calibration; small enough to travel with a task."""
 
-    def __init__(self, bad: bytes, good: bytes, slope: float, offset: float):
-        self.bad, self.good, self.slope, self.offset = bad, good, slope, offset
+    def __init__(self, bad: bytes, good: bytes, slope: float, offset: float, prior: float):
+        self.bad, self.good, self.slope, self.offset, self.prior = bad, good, slope, offset, prior
         self._pair = None
 
     def __getstate__(self):
         return self.__dict__ | {"_pair": None}
 
-    def difference(self, text: str | None) -> float:
+    def difference(self, text: str | None) -> tuple[float, int]:
+        """The normalised difference of a text and its bytes."""
         if not text or not self.bad:
-            return 0.0
+            return 0.0, 0
         if self._pair is None:
             self._pair = [
                 zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -52,11 +55,13 @@ class Model:
         for i in range(0, len(body), PIECE):
             piece = body[i : i + PIECE]
             total += len(bad.compress(piece)) - len(good.compress(piece))
-        return total / len(body)
+        return total / len(body), len(body)
 
     def score(self, texts) -> np.ndarray:
-        x = np.array([self.difference(t) for t in texts], float)
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * x + self.offset, -30, 30)))
+        x, n = np.array([self.difference(t) for t in texts], float).reshape(-1, 2).T
+        told = n / (n + HALF)
+        margin = told * (self.slope * x + self.offset) + (1 - told) * self.prior
+        return 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
 
 
 def _train(texts: list[bytes]) -> bytes:
@@ -67,16 +72,16 @@ def _train(texts: list[bytes]) -> bytes:
         return b"".join(texts)[-DICTIONARY:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's method with a slight ridge; the slope is in units of the spread of ``x``."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Newton's method with a slight ridge on the slope, which is in units of the spread of ``x``."""
     scale = float(np.std(x)) or 1.0
     z = np.clip(x / scale, -6, 6)
     a = np.column_stack([z, np.ones_like(z)])
     w, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge @ w)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge
+        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge @ w)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
@@ -91,14 +96,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
     for _, y, t in rows:
         if t:
             sides[y].append(t)
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~labelled.is_held_out())
+    count = {0: 1, 1: 1} | {r[0]: r[1] + 1 for r in known.groupBy(label).count().collect()}
+    prior = float(np.log(count[1] / count[0]))
     if min(map(len, sides.values())) < 4:
-        good = (len(sides[1]) + 1) / (len(sides[0]) + len(sides[1]) + 2)
-        return Model(b"", b"", 0.0, float(np.log(good / (1 - good))))
-    # three of four rows train the dictionaries, the fourth calibrates; classes are weighed as in the labels
+        return Model(b"", b"", 0.0, prior, prior)
+    # three of four rows train the dictionaries, the fourth calibrates
     for_dictionary = {y: [t.encode("utf-8", "surrogatepass") for k, t in enumerate(v) if k % 4] for y, v in sides.items()}
-    model = Model(_train(for_dictionary[0]), _train(for_dictionary[1]), 1.0, 0.0)
-    x, y = zip(*[(model.difference(t), c) for c, v in sides.items() for k, t in enumerate(v) if k % 4 == 0])
-    model.slope, model.offset = _logistic(np.array(x), np.array(y, float))
+    model = Model(_train(for_dictionary[0]), _train(for_dictionary[1]), 1.0, 0.0, prior)
+    rest = [(*model.difference(t), c) for c, v in sides.items() for k, t in enumerate(v) if k % 4 == 0]
+    x, n, y = np.array(rest, float).T
+    weight = n / (n + HALF) * np.where(y == 1, count[1] / max((y == 1).sum(), 1), count[0] / max((y == 0).sum(), 1))
+    model.slope, model.offset = _logistic(x, y, weight / weight.mean())
     return model
 
 

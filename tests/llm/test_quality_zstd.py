@@ -40,7 +40,7 @@ def test_held_out_labels_are_never_read(spark, tables):
     docs, labels, _ = tables
     turned = labels.withColumn("quality", F.when(is_held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = q.fit(docs, labels), q.fit(docs, turned)
-    assert (a.bad, a.good, a.slope, a.offset) == (b.bad, b.good, b.slope, b.offset)
+    assert (a.bad, a.good, a.slope, a.offset, a.prior) == (b.bad, b.good, b.slope, b.offset, b.prior)
 
 
 def test_one_class_and_empty_tables(spark, tables):
