@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op3_sharding": "shards",
     "op6_quality_classifier": "quality_zstd",
+    "op8_quality_rules": "quality_rules",
     "op2_sentencepiece": "sp_wfst",
 }
 
