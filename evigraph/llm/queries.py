@@ -6,6 +6,7 @@ import importlib
 
 #: Module and function of each query.
 _WHERE = {
+    "op1_html_extraction": "html_extract",
     "op3_sharding": "shards",
     "op6_quality_classifier": "quality_zstd",
     "op8_quality_rules": "quality_rules",
