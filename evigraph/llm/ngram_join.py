@@ -409,7 +409,7 @@ ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), g AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[][] WHEN len(ws) < 4 THEN [ws] ELSE list_transform(range(1, len(ws) - 2), i -> ws[i:i + 3]) END) AS s FROM w
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[][] WHEN len(ws) < 4 THEN [ws] ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) END) AS s FROM w
 ), t AS (SELECT doc_id, md5(array_to_string(s, ' ')) AS h FROM g),
 n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
