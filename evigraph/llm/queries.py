@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op1_html_extraction": "html_extract",
     "op3_sharding": "shards",
+    "op4_chat_formatting": "chat",
     "op5_ngram_jaccard": "ngram_join",
     "op6_quality_classifier": "quality_zstd",
     "op8_quality_rules": "quality_rules",
