@@ -12,6 +12,7 @@ _WHERE = {
     "op5_ngram_jaccard": "ngram_join",
     "op6_quality_classifier": "quality_zstd",
     "op8_quality_rules": "quality_rules",
+    "op10_pii": "pii",
     "op2_sentencepiece": "sp_wfst",
 }
 
