@@ -11,6 +11,7 @@ _WHERE = {
     "op4_chat_formatting": "chat",
     "op5_ngram_jaccard": "ngram_join",
     "op6_quality_classifier": "quality_zstd",
+    "op7_decontamination": "decontaminate",
     "op8_quality_rules": "quality_rules",
     "op10_pii": "pii",
     "op2_sentencepiece": "sp_wfst",

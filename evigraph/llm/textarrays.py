@@ -71,10 +71,11 @@ class Block:
     def __len__(self) -> int:
         return len(self.at) - 1
 
-    def words(self, fold: bool = True) -> "Words":
+    def words(self, fold: bool = True, space: np.ndarray = _SPACE) -> "Words":
+        """Runs of bytes outside ``space`` (256 flags)."""
         data = _LOWER[self.data] if fold else self.data
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = ~_SPACE[self.data]
+        inside[1:-1] = ~space[self.data]
         begins = inside[1:-1] & ~inside[:-2]
         ends = inside[1:-1] & ~inside[2:]
         cuts = self.at[1:-1]
