@@ -38,7 +38,7 @@ WORDS, NUM, DEN = 4, 85, 100
 #: Largest ``l``; list length from which a shingle counts as common; common shingles broadcast at most.
 LEVELS, COMMON, MOST_COMMON = 4, 4, 1_000_000
 #: Longest list that gives pairs, and sets in a block of a longer one.
-LIST, BLOCK = 48, 512
+LIST, BLOCK = 48, 1024
 #: Rows that a hinted broadcast may have; above, the join shuffles.
 SMALL = 500_000
 _S1, _S2 = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
@@ -304,12 +304,15 @@ def link_block(s1, s2, tokens: list[np.ndarray], num: int, den: int) -> list[tup
         a = np.zeros((m, width), np.float32)
         a[owner[lo:hi], column[lo:hi] - c] = 1
         inter += a @ a.T
-    inter = inter.astype(np.int64)
-    linked = inter * den >= num * (n[:, None] + n[None, :] - inter)
+    # inter * den >= num * (n + n' - inter), in whole numbers that doubles hold exactly
+    linked = np.empty((m, m), bool)
+    for i in range(0, m, 256):
+        linked[i : i + 256] = inter[i : i + 256].astype(float) * (den + num) >= float(num) * (n[i : i + 256, None] + n[None, :])
+    del inter
     np.fill_diagonal(linked, True)
     label = np.arange(m)
     while True:
-        new = np.where(linked, label[None, :], m).min(axis=1)
+        new = np.concatenate([np.where(linked[i : i + 256], label[None, :], m).min(axis=1) for i in range(0, m, 256)])
         new = new[new]
         if (new == label).all():
             break
