@@ -13,6 +13,7 @@ _WHERE = {
     "op6_quality_classifier": "quality_zstd",
     "op7_decontamination": "decontaminate",
     "op8_quality_rules": "quality_rules",
+    "op9_license_scan": "licenses",
     "op10_pii": "pii",
     "op2_sentencepiece": "sp_wfst",
 }
