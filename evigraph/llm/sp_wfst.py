@@ -115,9 +115,17 @@ class Machine:
         self.byte = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kind)) if k == BYTE}
         self.unknown = self.kind.index(UNKNOWN) if UNKNOWN in self.kind else 0
         self.longest = max(map(len, self.lexicon), default=1)
-        self.ends: dict[str, int] = {}
+        #: Lengths of the pieces that end in a pair of characters, the longest first.
+        lengths: dict[str, set[int]] = {}
         for p in self.lexicon:
-            self.ends[p[-1]] = max(self.ends.get(p[-1], 1), len(p))
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        #: Texts of pieces; None where the bytes of neighbours decide.
+        plain = {NORMAL: lambda p: p, UNUSED: lambda p: p, UNKNOWN: lambda p: " \u2047 ", CONTROL: lambda p: ""}
+        self.plain = [
+            (chr(int(p[1:-1], 16)) if int(p[1:-1], 16) < 0x80 else None) if k == BYTE else plain[k](p) for p, k in zip(self.pieces, self.kind)
+        ]
         worst = min((self.score[i] for i in self.lexicon.values()), default=0.0)
         self.unknown_weight = 10.0 - worst
         self._apart: dict[tuple[str, str], bool] = {}
@@ -190,9 +198,10 @@ class Machine:
             last.clear()
             have = 0
         for j in range(have + 1, n + 1):
-            for i in range(max(0, j - ends.get(chunk[j - 1], 1)), j):
-                piece = chunk[i:j]
-                if piece not in lexicon and j - i > 1:
+            for size in (*ends.get(chunk[j - 2 : j], ()), 1) if j > 1 else (1,):
+                i = j - size
+                piece = chunk[i:j] if i >= 0 else ""
+                if piece not in lexicon and size > 1:
                     continue
                 before = last.get(chunk[:i]) if i else ""
                 if before is None:
@@ -216,7 +225,7 @@ class Machine:
         n = len(chunk)
         into, cost = [0] * (n + 1), [0.0] + [float("inf")] * n
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.ends.get(chunk[j - 1], 1)), j):
+            for i in range(max(0, j - self.longest), j):
                 k = self.lexicon.get(chunk[i:j])
                 w = -self.score[k] if k is not None else self.unknown_weight if j - i == 1 else None
                 if w is not None and cost[i] + w < cost[j]:
@@ -263,7 +272,17 @@ class Machine:
             self._known[chunk] = got
         return got
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
+        plain = self.plain
+        try:
+            text = "".join([plain[i] for i in ids])
+        except TypeError:
+            text = self._decode_bytes(ids)
+        if (self.dummy or self.squeeze) and text.startswith(META):
+            text = text[1:]
+        return text.replace(META, " ")
+
+    def _decode_bytes(self, ids: Iterable[int]) -> str:
         out, held = [], bytearray()
         for i in ids:
             if self.kind[i] == BYTE:
@@ -272,16 +291,10 @@ class Machine:
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if self.kind[i] == UNKNOWN:
-                out.append(" ⁇ ")
-            elif self.kind[i] != CONTROL:
-                out.append(self.pieces[i])
+            out.append(self.plain[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
-        text = "".join(out)
-        if (self.dummy or self.squeeze) and text.startswith(META):
-            text = text[1:]
-        return text.replace(META, " ")
+        return "".join(out)
 
 
 def read_model(path: str = MODEL) -> bytes:
