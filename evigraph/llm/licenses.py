@@ -77,6 +77,9 @@ OTHER = [
     "human rights are reserved for no one alone", "commons in the village were open to all people", "version 3 of the file was lost under the desk", "attribution of the painting is not certain",
     "the name of the holder may be used in the list", "the software was sold with a fee for any person", "the bsd and the gnu are animals in this story", "we may obtain a permit at the office",
     "the notice was included in all letters to the public", "the license plate of the car was from 2020", "fees are charged for documentation and files", "it was released under pressure in version 2.0",
+    "you can see that an apple or a pear is part of what lies above, as either is available to you", "neither rain nor snow shall except anyone", "v is a letter, sa and nc are two more", "subject to change, with the prior and the written purpose",
+    "the forms and names were provided on that basis, part by part", "see http and the like", "it can be that you can not", "an international prior charge was granted later", "products that are strictly for later", "written publication by the publisher", "above all, associated with the copies", "it and that, as is",
+    "that the end of this and this and or on an end with or without the names of it and the other in all and or in the way that this work is and of the author of any", "the above is at the end and on the list or of the kind",
     "distribution of the goods is without problems of any kind", "the domain of the function is public knowledge", "mozilla and others made a browser for the public",
 ]
 UNKNOWN = "unknown"
@@ -164,12 +167,16 @@ class Model:
         return self._softmax(z[None, :] * self.scale)[0]
 
     def anchors(self) -> str:
-        """A pattern that every line with a feature matches: single words, and pairs as they can stand in a line."""
+        """A pattern that every lower-cased line with a feature matches: single words, and pairs as they can stand in a line, at word bounds."""
         gap = "[^a-z0-9]+"
         singles = {g for g in self.vocabulary if " " not in g}
         parts = [re.escape(g) for g in sorted(singles)]
         parts += [gap.join(map(re.escape, g.split())) for g in self.vocabulary if " " in g and not singles & set(g.split())]
-        return f"(?i)(?:{'|'.join(parts)})"
+        by_first: dict[str, list[str]] = {}
+        for p in parts:
+            by_first.setdefault(p[0], []).append(p[1:])
+        heads = [f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())]
+        return f"(?<![a-z0-9])(?:{'|'.join(heads)})(?![a-z0-9])"
 
 
 _model: Model | None = None
@@ -202,8 +209,8 @@ def scan_documents(df: DataFrame, text: str = "text", hits: str = "licenses") ->
     pairs = {f: [sorted(g for g in grams(t) if " " in g) for t in ts] for f, ts in TEMPLATES.items()} | {UNKNOWN: []}
     templates = _literal([pairs[f] for f in FAMILIES], "array<array<array<string>>>")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    lines = F.filter(F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("s"))), lambda x: x["s"].rlike(m.anchors()))
-    picked = F.when(body.rlike(m.anchors()), lines).otherwise(F.array().cast("array<struct<line:int,s:string>>"))
+    lines = F.filter(F.transform(F.split(F.lower(body), "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("s"))), lambda x: x["s"].rlike(m.anchors()))
+    picked = F.when(F.lower(body).rlike(m.anchors()), lines).otherwise(F.array().cast("array<struct<line:int,s:string>>"))
 
     def scored(x: Column) -> Column:
         def of(g: Column) -> Column:
