@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,20 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Rows of a batch that are turned into Python objects at a time.
+ROWS = 128
+
+
+def over_texts(f: Callable[[pa.Array], pa.Array], kind: str):
+    """An Arrow UDF over a string column that sees a few rows at a time, so a batch of long texts never exists twice."""
+
+    @F.arrow_udf(kind)
+    def run(col: pa.Array) -> pa.Array:
+        if len(col) == 0:
+            return f(col)
+        parts = [f(col.slice(i, ROWS)) for i in range(0, len(col), ROWS)]
+        return pa.concat_arrays(parts)
+
+    return run

@@ -23,7 +23,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import table
 from .textarrays import U, Block, blocks, mix, starts_of
@@ -219,15 +218,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how)
 def _clean(spark: SparkSession, index: Index):
     shared = spark.sparkContext.broadcast(index)
 
-    @F.pandas_udf(T.BooleanType())
-    def clean(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         out = np.ones(len(texts), bool)
-        for block in blocks(folded(pa.array(texts, pa.string(), from_pandas=True))):
+        for block in blocks(folded(texts)):
             for k, *_ in shared.value.search(block):
                 out[block.rows.start + k] = False
-        return pd.Series(out)
+        return pa.array(out)
 
     return clean
 

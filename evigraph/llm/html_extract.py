@@ -23,11 +23,11 @@ import re
 from collections import defaultdict
 from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import table
+from .common import over_texts, table
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
@@ -232,12 +232,7 @@ def extract(page: str | None) -> str:
 def extract_pages(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """All columns of ``df`` and the main text. One pass, no shuffle; ``text`` replaces a column of that name."""
 
-    @F.pandas_udf(T.StringType())
-    def run(pages):
-        import pandas as pd
-
-        return pd.Series([extract(p) for p in pages], dtype=object)
-
+    run = over_texts(lambda pages: pa.array([extract(p) for p in pages.to_pylist()], pa.string()), "string")
     return df.withColumn(text, run(F.col(f"`{html}`").cast("string")))
 
 

@@ -20,9 +20,9 @@ a constant and the base rules alone decide. Repeated rows get equal verdicts; ot
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import gbt, labelled
 from .common import table
@@ -124,27 +124,21 @@ def statistics(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return base, features
 
 
-_BASE_FIELDS = [T.StructField(k, T.LongType(), False) for k in BASE]
-_FEATURE_FIELDS = [T.StructField(k, T.DoubleType(), False) for k in FEATURES]
+def _struct(columns: list[np.ndarray], names: tuple[str, ...]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], list(names))
 
 
-def _over(texts, then):
-    """``then`` of the statistics of a pandas series of texts."""
-    import pandas as pd
-    import pyarrow as pa
-
-    parts = [then(*statistics(b)) for b in blocks(pa.array(texts, pa.string(), from_pandas=True))]
-    return pd.concat(parts, ignore_index=True) if parts else None
+def _over(texts: pa.Array, then) -> pa.Array:
+    """``then`` of the statistics of an Arrow array of texts."""
+    parts = [then(*statistics(b)) for b in blocks(texts)]
+    return pa.concat_arrays(parts) if parts else then(np.empty((0, len(BASE)), np.int64), np.empty((0, len(FEATURES))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "quality") -> gbt.Trees:
     """Trees from at most ``2 * per_class`` labelled documents; only their features reach the driver."""
-    import pandas as pd
-
-    @F.pandas_udf(T.StructType(_FEATURE_FIELDS))
-    def features(texts):
-        out = _over(texts, lambda b, f: pd.DataFrame(f, columns=list(FEATURES)))
-        return out if out is not None else pd.DataFrame(columns=list(FEATURES), dtype=float)
+    @F.arrow_udf(", ".join(f"{k} double" for k in FEATURES))
+    def features(texts: pa.Array) -> pa.Array:
+        return _over(texts, lambda b, f: _struct(list(f.T), FEATURES))
 
     chosen = labelled.sample(docs, labels, per_class, label)
     rows = sorted(tuple(r) for r in chosen.withColumn("f", features("__text")).select("__id", "__label", "f.*").collect())
@@ -157,24 +151,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
 
 def apply_rules(df: DataFrame, trees: gbt.Trees, text: str = "text", keep: float = KEEP) -> DataFrame:
     """All columns of ``df``, the base statistics, ``base_failed``, ``probability`` and ``kept``. One pass, no shuffle."""
-    import pandas as pd
-
     shared = df.sparkSession.sparkContext.broadcast(trees)
-    fields = [*_BASE_FIELDS, T.StructField("probability", T.DoubleType(), False)]
-    names = [f.name for f in fields]
+    names = (*BASE, "probability")
     clash = {*names, "base_failed", "kept"} & {c.lower() for c in df.columns}
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist")
 
-    @F.pandas_udf(T.StructType(fields))
-    def run(texts):
-        def one(base, features):
-            out = pd.DataFrame(base, columns=list(BASE))
-            out["probability"] = shared.value.probability(features)
-            return out
-
-        out = _over(texts, one)
-        return out if out is not None else pd.DataFrame({k: pd.Series(dtype="float64" if k == "probability" else "int64") for k in names})
+    @F.arrow_udf(", ".join(f"{k} {'double' if k == 'probability' else 'long'}" for k in names))
+    def run(texts: pa.Array) -> pa.Array:
+        return _over(texts, lambda b, f: _struct([*b.T, shared.value.probability(f)], names))
 
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = df.withColumn("__q", run(F.col(f"`{text}`").cast("string")))

@@ -16,13 +16,13 @@ good rows. Repeated rows get equal scores; other columns pass through.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import labelled
-from .common import table
+from .common import over_texts, table
 
 PER_CLASS, TRAIN_BYTES = 3000, 8192
 DICTIONARY, PIECE, LEVEL = 32768, 1500, 3
@@ -114,13 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
 def score_documents(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """All columns of ``df`` and ``score`` (double, 0 to 1). One pass, no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(T.DoubleType())
-    def run(texts):
-        import pandas as pd
-
-        return pd.Series(shared.value.score(texts))
-
+    run = over_texts(lambda col: pa.array(shared.value.score(col.to_pylist()), pa.float64()), "double")
     return df.withColumn(score, run(F.col(f"`{text}`").cast("string")))
 
 

@@ -28,9 +28,11 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import over_texts
 
 META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -326,21 +328,17 @@ def encode_documents(df: DataFrame, model: bytes, text: str = "text", ids: str =
             raise ValueError(f"column {name} exists")
     spark: SparkSession = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    inner = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
-    if check:
-        inner.append(T.StructField("ok", T.BooleanType(), False))
-
-    @F.pandas_udf(T.StructType(inner))
-    def run(texts):
-        import pandas as pd
 
+    def run(texts: pa.Array) -> pa.Array:
         m = _compiled(shared.value)
+        texts = texts.to_pylist()
         rows = [m.encode(t) for t in texts]
-        out = {"ids": rows}
+        cols = [pa.array(rows, pa.list_(pa.int32()))]
         if check:
-            out["ok"] = [m.decode(r) == (t or "") for r, t in zip(rows, texts)]
-        return pd.DataFrame(out)
+            cols.append(pa.array([m.decode(r) == (t or "") for r, t in zip(rows, texts)], pa.bool_()))
+        return pa.StructArray.from_arrays(cols, ["ids", "ok"][: len(cols)])
 
+    run = over_texts(run, "struct<ids:array<int>,ok:boolean>" if check else "struct<ids:array<int>>")
     got = df.withColumn("__sp", run(F.col(f"`{text}`").cast("string")))
     out = got.withColumn(ids, F.col("__sp.ids"))
     return (out.withColumn(check, F.col("__sp.ok")) if check else out).drop("__sp")
@@ -350,13 +348,7 @@ def decode_documents(df: DataFrame, model: bytes, ids: str = "ids", text: str =
     """All columns of ``df`` and the decoded text; null ids decode as empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.StringType())
-    def run(col):
-        import pandas as pd
-
-        m = _compiled(shared.value)
-        return pd.Series([m.decode(() if x is None else x) for x in col])
-
+    run = over_texts(lambda col: pa.array([_compiled(shared.value).decode(x or []) for x in col.to_pylist()], pa.string()), "string")
     return df.withColumn(text, run(F.col(f"`{ids}`")))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are taken in blocks of about so many bytes, which bounds a worker's memory.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
