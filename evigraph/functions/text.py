@@ -137,7 +137,7 @@ def literal_line(text: Column, literal: Column) -> Column:
 
 def version(text: Column) -> Column:
     """(major, minor, patch) of a version string; null where none is read."""
-    part = lambda k: F.try_cast if False else F.nullif(F.regexp_extract(text, r"(\d+)\.(\d+)(?:\.(\d+))?", k), F.lit("")).cast("int")
+    part = lambda k: F.nullif(F.regexp_extract(text, r"(\d+)\.(\d+)(?:\.(\d+))?", k), F.lit("")).cast("int")
     return F.when(text.rlike(r"\d+\.\d+"), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))
 
 

@@ -64,16 +64,18 @@ def cycles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     heads = all_edges.filter("src <> dst").distinct()
     kind = dict(edges.dtypes)["src"]
 
-    def run(pdf):
-        import pandas as pd
+    def run(t):
+        import pyarrow as pa
 
+        src, dst = t.column("src"), t.column("dst")
         ways: dict = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
+        for a, b in zip(src.to_pylist(), dst.to_pylist()):
             ways.setdefault(a, set()).add(b)
-        names = sorted({*ways, *pdf["dst"]})
-        return pd.DataFrame({"cycle": _search(names, {k: sorted(v) for k, v in ways.items()})})
+        names = sorted({*ways, *dst.to_pylist()})
+        found = _search(names, {k: sorted(v) for k, v in ways.items()})
+        return pa.table({"cycle": pa.array(found, pa.list_(src.type))})
 
-    return heads.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, f"cycle array<{kind}>")
+    return heads.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, f"cycle array<{kind}>")
 
 
 def scc_members(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -92,11 +92,11 @@ def deepest_owner(spark, sf):
     return resolve.deepest_owner(p, host.union(two)).select("page_id", "owner")
 
 
-_PAIRS = "e AS (SELECT DISTINCT l_orderkey AS header, l_suppkey * 7 + l_orderkey % 7 AS source FROM lineitem WHERE l_orderkey % 11 = 0)"
+_PAIRS = "e AS (SELECT DISTINCT l_orderkey AS header, l_partkey + 100000000 AS source FROM lineitem WHERE l_orderkey % 11 = 0 AND l_partkey % 6 = 0)"
 
 
 def _pairs(spark, sf):
-    return a.read(spark, sf, "lineitem").filter("l_orderkey % 11 = 0").select(F.col("l_orderkey").alias("header"), (F.col("l_suppkey") * 7 + F.col("l_orderkey") % 7).alias("source")).distinct()
+    return a.read(spark, sf, "lineitem").filter("l_orderkey % 11 = 0 and l_partkey % 6 = 0").select(F.col("l_orderkey").alias("header"), (F.col("l_partkey") + 100000000).alias("source")).distinct()
 
 
 @query(f"WITH {_PAIRS} SELECT header, source FROM e WHERE header IN (SELECT header FROM e GROUP BY 1 HAVING count(*) = 1) AND source IN (SELECT source FROM e GROUP BY 1 HAVING count(*) = 1)")
