@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.storage import cut
 
 
+#: Edges above which sinks are peeled off before one task searches.
+LARGE = 2_000_000
+
+
 def _search(names: list[str], edges: dict[str, list[str]]) -> list[list[str]]:
     """One closed cycle for each back edge of a depth-first search in name order, least rotation first."""
     state: dict[str, int] = {}
@@ -52,16 +56,22 @@ def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
 
 def cycles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``cycle``: closed node lists. Exact to the search order, so one task searches the *cyclic core*.
+    """``cycle``: closed node lists, one for each back edge of a depth-first search in name order; exact, so one task searches.
 
-    The core is found by distributed peeling first; nodes outside it lie on no cycle, but the order of the search depends on them
-    only through edges into the core, so names that reach the core are kept too when ``nodes`` are given.
+    Nodes that reach no cycle do not change what the search finds, so above ``LARGE`` edges they are peeled off first by
+    distributed rounds (edges into nodes without an edge out go). ``scc_members`` answers which nodes lie on cycles without any
+    single task.
     """
     all_edges = edges.select("src", "dst")
     if nodes is not None:  # edges to unknown names do not count
         known = nodes.select(F.col("name"))
         all_edges = all_edges.join(known.withColumnRenamed("name", "src"), "src", "left_semi").join(known.withColumnRenamed("name", "dst"), "dst", "left_semi")
     heads = all_edges.filter("src <> dst").distinct()
+    for _ in range(20):
+        heads = cut(heads)
+        if heads.count() <= LARGE:
+            break
+        heads = heads.join(heads.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
     kind = dict(edges.dtypes)["src"]
 
     def run(t):

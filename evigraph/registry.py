@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import closure, connections, cycles, fold, graph, integrity, knowledge, resolve
+from .operators import closure, connections, cycles, filegraph, fold, graph, integrity, knowledge, resolve
 from .sources import code, descriptors, editor, files, ini, sinks
 
 TOOLS: dict[str, Callable] = {
@@ -16,17 +16,19 @@ TOOLS: dict[str, Callable] = {
     "inspect-targets": closure.inherited,
     "list-project-sources": files.iter_files,
     "list-module-sources": resolve.pairing,
-    "resolve-plugins": resolve.overlay,
-    "classify-paths": resolve.deepest_owner,
+    "resolve-plugins": filegraph.resolve_plugins,
+    "classify-paths": filegraph.classify_paths,
     "read-plugin-descriptor": descriptors.modules,
     "inspect-module-rules": code.rule_dependencies,
-    "inspect-target-rules": code.extract,
-    "inspect-cs-function": code.extract,
-    "inspect-module-entry": resolve.declared_files,
+    "inspect-target-rules": filegraph.rules_classes,
+    "inspect-cs-function": filegraph.receiver_types,
+    "inspect-module-entry": filegraph.module_entries,
     "list-includes": resolve.include_candidates,
-    "list-types": code.extract,
+    "list-types": filegraph.interface_candidates,
     "inspect-cxx-function": resolve.declaration_relation,
-    "analyze-dependencies": graph.document,
+    "analyze-dependencies": filegraph.type_graph,
+    "dependency-document": graph.document,
+    "trace-function-flow": filegraph.function_flow,
     "query-hierarchy": closure.descendants,
     "analyze-impact": closure.impact,
     "find-cycles": cycles.cycles,
@@ -35,6 +37,7 @@ TOOLS: dict[str, Callable] = {
     "build-graph": knowledge.build,
     "validate-graph": integrity.validate_graph,
     "diff-graph": integrity.diff_nodes,
+    "build-file-graph": filegraph.build,
     "write-file-graph": sinks.write_snapshot,
     "browse-graph": closure.neighbourhood,
     "resolve-connection": connections.connection_status,
