@@ -34,12 +34,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind a materialised DataFrame that nothing will read again."""
+    for spark, path in [w for w in _written if w[1] == getattr(df, "_written_to", None)]:
+        _delete(spark, path)
+        _written.remove((spark, path))
+
+
 def _forget() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone; the folder is scratch space
             pass
 
@@ -54,7 +64,9 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/evigraph/{what}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def text_or_empty(column: str = "text"):

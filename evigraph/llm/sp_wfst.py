@@ -31,15 +31,20 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import over_texts
+from .common import ROWS, over_texts
 
 META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Model files over this are refused: the file travels with every task.
 MODEL_LIMIT = 64 << 20
-#: Chunks remembered in one worker.
-MEMORY = 400_000
+#: Chunks remembered in one generation, and characters of a prefix whose state is remembered.
+MEMORY, PREFIX = 150_000, 6
+#: Bits that tell whether a chunk was met before; most chunks come once and are not worth remembering.
+MET = 1 << 22
+#: Pieces and characters are numbered below this; an arc of the bigram acceptor is one number.
+ARC, ONE = 1 << 22, (1,)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -122,7 +127,7 @@ class Machine:
         for p in self.lexicon:
             if len(p) > 1:
                 lengths.setdefault(p[-2:], set()).add(len(p))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        self.ends = {k: (*sorted(v, reverse=True), 1) for k, v in lengths.items()}
         #: Texts of pieces; None where the bytes of neighbours decide.
         plain = {NORMAL: lambda p: p, UNUSED: lambda p: p, UNKNOWN: lambda p: " \u2047 ", CONTROL: lambda p: ""}
         self.plain = [
@@ -130,10 +135,11 @@ class Machine:
         ]
         worst = min((self.score[i] for i in self.lexicon.values()), default=0.0)
         self.unknown_weight = 10.0 - worst
-        self._apart: dict[tuple[str, str], bool] = {}
-        self._last: dict[str, str] = {}
+        self._apart: dict[int, bool] = {}
+        self._last: dict[str, int] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
+        self._met, self._fresh = bytearray(MET >> 3), 0
         after = {b for p in self.lexicon for a, b in zip(p, p[1:]) if a.isalpha()}
         cut = "".join(re.escape(c) for c in sorted({c for p in self.lexicon for c in p} - after) if not c.isalnum() and c not in f"_{META}")
         run = f"(?:[^{META}{cut}]+|(?<![^\\W\\d_])[{cut}])" if cut else f"[^{META}]"
@@ -174,51 +180,63 @@ class Machine:
                 propose(prv[i])
         return [x for x in sym if x]
 
-    def apart(self, a: str, b: str) -> bool:
-        """Whether the bigram acceptor lets ``b`` follow ``a``; of the start state (an empty ``a``), whether ``b`` may come first."""
-        key = (a, b)
-        got = self._apart.get(key)
-        if got is None:
-            if len(self._apart) > MEMORY:
-                self._apart.clear()
-            got = self._apart[key] = self._merged(a + b) == ([a, b] if a else [b])
+    def _text(self, piece: int) -> str:
+        """The text of a piece, or of a character outside the vocabulary (numbered after the pieces)."""
+        return self.pieces[piece] if piece < len(self.pieces) else chr(piece - len(self.pieces))
+
+    def apart(self, key: int) -> bool:
+        """Whether the bigram acceptor has the arc ``key``: from state ``key // ARC - 1`` (-1 at the start, else the last piece) by piece ``key % ARC``."""
+        if len(self._apart) > 4 * MEMORY:
+            self._apart.clear()
+        a, b = key // ARC - 1, self._text(key % ARC)
+        got = self._apart[key] = self._merged(b) == [b] if a < 0 else self._merged(self._text(a) + b) == [self._text(a), b]
         return got
 
     # --- composition and shortest path -----------------------------------------------------
 
-    def _states(self, chunk: str) -> list[str]:
+    def _states(self, chunk: str) -> list[int]:
         """Pieces on the one path of finite weight through the byte-pair machine.
 
         The path into a state depends on the prefix read alone, so the machine is determinised
-        as inputs need it: ``_last`` maps each prefix met to the piece that its path ends in.
+        as inputs need it: ``_last`` maps each short prefix met to the piece that its path ends in.
         """
-        last, lexicon, ends, table = self._last, self.lexicon, self.ends, self._apart
-        n = have = len(chunk)
-        while have and chunk[:have] not in last:
-            have -= 1
-        if have < n and len(last) > MEMORY:
+        last, lexicon, ends, table, beyond = self._last, self.lexicon, self.ends, self._apart, len(self.pieces)
+        n = len(chunk)
+        if len(last) > MEMORY:
             last.clear()
-            have = 0
+        at: list[int | None] = [None] * (n + 1)  # the last piece on the path into each state
+        at[0] = -1
+        have = 0
+        while have < n and have < PREFIX and (known := last.get(chunk[: have + 1])) is not None:
+            have += 1
+            at[have] = known
         for j in range(have + 1, n + 1):
-            for size in (*ends.get(chunk[j - 2 : j], ()), 1) if j > 1 else (1,):
+            for size in ends.get(chunk[j - 2 : j], ONE) if j > 1 else ONE:
                 i = j - size
-                piece = chunk[i:j] if i >= 0 else ""
-                if piece not in lexicon and size > 1:
+                if i < 0:
                     continue
-                before = last.get(chunk[:i]) if i else ""
+                before = at[i]
                 if before is None:
                     continue
-                fits = table.get((before, piece))
-                if fits if fits is not None else self.apart(before, piece):
-                    last[chunk[:j]] = piece
+                piece = lexicon.get(chunk[i:j])
+                if piece is None:
+                    if size > 1:
+                        continue
+                    piece = beyond + ord(chunk[i])
+                key = (before + 1) * ARC + piece
+                fits = table.get(key)
+                if fits if fits is not None else self.apart(key):
+                    at[j] = piece
+                    if j <= PREFIX:
+                        last[chunk[:j]] = piece
                     break
         out = []
         while n:
-            piece = last.get(chunk[:n])
+            piece = at[n]
             if piece is None:
                 raise ValueError("the vocabulary's merges contradict each other")
             out.append(piece)
-            n -= len(piece)
+            n -= len(self.pieces[piece]) if piece < beyond else 1
         out.reverse()
         return out
 
@@ -241,14 +259,18 @@ class Machine:
 
     def path(self, chunk: str) -> tuple[int, ...]:
         """Ids on the shortest path of ``chunk`` through the composed machine."""
+        if self.bpe and len(chunk) <= 1024:
+            steps = self._states(chunk)
+        else:  # prefixes of a long chunk are not worth keeping
+            steps = [self.lexicon[x] if x in self.lexicon else len(self.pieces) + ord(x) for x in (self._merged(chunk) if self.bpe else self._cheapest(chunk))]
+        if max(steps, default=0) < len(self.pieces):
+            return tuple(steps)
         out: list[int] = []
-        long = len(chunk) > 1024  # prefixes of a long chunk are not worth keeping, and slicing them would cost its square
-        for piece in self._merged(chunk) if long and self.bpe else self._states(chunk) if self.bpe else self._cheapest(chunk):
-            k = self.lexicon.get(piece)
-            if k is not None:
+        for k in steps:
+            if k < len(self.pieces):
                 out.append(k)
             elif self.byte:
-                out.extend(self.byte[x] for x in piece.encode("utf-8", "surrogatepass"))
+                out.extend(self.byte[x] for x in chr(k - len(self.pieces)).encode("utf-8", "surrogatepass"))
             else:
                 out.append(self.unknown)
         return tuple(out)
@@ -268,7 +290,13 @@ class Machine:
         got = self._old.get(chunk)
         if got is None:
             got = self.path(chunk)
-        if len(chunk) <= 64:
+        bit = hash(chunk) % MET
+        if not self._met[bit >> 3] >> (bit & 7) & 1:
+            self._met[bit >> 3] |= 1 << (bit & 7)
+            self._fresh += 1
+            if self._fresh > MET // 4:
+                self._met, self._fresh = bytearray(MET >> 3), 0
+        elif len(chunk) <= 64:
             if len(self._known) >= MEMORY:
                 self._old, self._known = self._known, {}
             self._known[chunk] = got
@@ -318,30 +346,34 @@ def _compiled(model: bytes) -> Machine:
     return _machine[1]
 
 
-def encode_documents(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
-    """All columns of ``df`` and ``ids`` (array<int>); with ``check`` also whether decoding gives the text back.
+def encode_documents(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", check: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``df`` (all, if none are named) and ``ids`` (array<int>); with ``check`` also whether decoding gives the text back.
 
-    One pass, no shuffle. ``ids`` and ``check`` must not name columns that ``df`` has.
+    One pass, no shuffle; rows go back in small batches, as ids take more room than text. ``ids`` and ``check`` must not
+    name columns that ``df`` has.
     """
     for name in filter(None, (ids, check)):
         if name.lower() in {c.lower() for c in df.columns}:
             raise ValueError(f"column {name} exists")
-    spark: SparkSession = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    keep = df.columns if keep is None else keep
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    names = [*keep, ids, *([check] if check else [])]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType(), True))] + ([T.StructField(check, T.BooleanType())] if check else []))
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches):
         m = _compiled(shared.value)
-        texts = texts.to_pylist()
-        rows = [m.encode(t) for t in texts]
-        cols = [pa.array(rows, pa.list_(pa.int32()))]
-        if check:
-            cols.append(pa.array([m.decode(r) == (t or "") for r, t in zip(rows, texts)], pa.bool_()))
-        return pa.StructArray.from_arrays(cols, ["ids", "ok"][: len(cols)])
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                texts = b.column(b.num_columns - 1).to_pylist()
+                rows = [m.encode(t) for t in texts]
+                cols = [*b.columns[:-1], pa.array(rows, pa.list_(pa.int32()))]
+                if check:
+                    cols.append(pa.array([m.decode(r) == (t or "") for r, t in zip(rows, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    run = over_texts(run, "struct<ids:array<int>,ok:boolean>" if check else "struct<ids:array<int>>")
-    got = df.withColumn("__sp", run(F.col(f"`{text}`").cast("string")))
-    out = got.withColumn(ids, F.col("__sp.ids"))
-    return (out.withColumn(check, F.col("__sp.ok")) if check else out).drop("__sp")
+    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    return own.mapInArrow(run, schema)
 
 
 def decode_documents(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -357,5 +389,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encode_documents(docs, read_model(), check="roundtrip")
+    out = encode_documents(docs, read_model(), check="roundtrip", keep=["doc_id"])
     return out.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "roundtrip")
