@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import decontaminate as leaks
 from evigraph.llm import ngram_join, pii, quality_zstd, sp_wfst
-from evigraph.llm.common import materialise, table
+from evigraph.llm.common import discard, materialise, table
 
 #: Words of a shingle, and the similarity as a fraction.
 SHINGLE, SIMILAR = 5, (80, 100)
@@ -43,7 +43,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = sp_wfst.encode_documents(docs, sp_wfst.read_model(MODEL))
+    out = sp_wfst.encode_documents(docs, sp_wfst.read_model(MODEL), keep=["doc_id", "lang", "source"])
     return out.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids")
 
 
@@ -53,7 +53,8 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(before)  # written by a stage; the input tables are not
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
