@@ -73,6 +73,12 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that results of these names replace, in any case."""
+    low = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
 #: Rows of a batch that are turned into Python objects at a time.
 ROWS = 128
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt, labelled
-from .common import table
+from .common import table, without
 from .textarrays import Block, blocks, mix, rolling, span_hashes, starts_of
 
 PER_CLASS = 3000
@@ -150,12 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
 
 
 def apply_rules(df: DataFrame, trees: gbt.Trees, text: str = "text", keep: float = KEEP) -> DataFrame:
-    """All columns of ``df``, the base statistics, ``base_failed``, ``probability`` and ``kept``. One pass, no shuffle."""
+    """All columns of ``df``, the base statistics, ``base_failed``, ``probability`` and ``kept``, which replace columns of these names. One pass, no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(trees)
     names = (*BASE, "probability")
-    clash = {*names, "base_failed", "kept"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist")
+    df = without(df, *names, "base_failed", "kept")
 
     @F.arrow_udf(", ".join(f"{k} {'double' if k == 'probability' else 'long'}" for k in names))
     def run(texts: pa.Array) -> pa.Array:

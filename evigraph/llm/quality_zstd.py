@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
 
 
 def score_documents(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """All columns of ``df`` and ``score`` (double, 0 to 1). One pass, no shuffle."""
+    """All columns of ``df`` and ``score`` (double, 0 to 1), which replaces a column of that name. One pass, no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     run = over_texts(lambda col: pa.array(shared.value.score(col.to_pylist()), pa.float64()), "double")
     return df.withColumn(score, run(F.col(f"`{text}`").cast("string")))

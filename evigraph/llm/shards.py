@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import materialise, table, without
 
 SHARDS = 40
 #: Largest distance of a splitter from its target, as a share of a shard's bytes.
@@ -119,12 +119,10 @@ def place(k1: np.ndarray, k2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.
 def shard_documents(
     df: DataFrame, n_shards: int = SHARDS, text: str = "text", key: str = "doc_id", tolerance: float = TOLERANCE, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
-    """All columns of ``df`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard)."""
+    """All columns of ``df`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard), which replace columns of these names."""
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    for name in ("shard", "slot"):
-        if name in {c.lower() for c in df.columns}:
-            raise ValueError(f"column {name} exists")
+    df = without(df, "shard", "slot")
     rows = sized(df, text, key)
     keys = materialise(rows.select("__k1", "__k2", "__size"), "shard-keys")
     total = keys.agg(F.sum("__size")).first()[0] or 0

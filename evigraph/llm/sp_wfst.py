@@ -349,13 +349,11 @@ def _compiled(model: bytes) -> Machine:
 def encode_documents(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", check: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``df`` (all, if none are named) and ``ids`` (array<int>); with ``check`` also whether decoding gives the text back.
 
-    One pass, no shuffle; rows go back in small batches, as ids take more room than text. ``ids`` and ``check`` must not
-    name columns that ``df`` has.
+    One pass, no shuffle; rows go back in small batches, as ids take more room than text. ``ids`` and ``check`` replace
+    columns of these names.
     """
-    for name in filter(None, (ids, check)):
-        if name.lower() in {c.lower() for c in df.columns}:
-            raise ValueError(f"column {name} exists")
-    keep = df.columns if keep is None else keep
+    taken = {x.lower() for x in (ids, check) if x}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [*keep, ids, *([check] if check else [])]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType(), True))] + ([T.StructField(check, T.BooleanType())] if check else []))

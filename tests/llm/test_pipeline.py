@@ -59,6 +59,19 @@ def test_stages_against_brute_force(spark, corpus):
     assert all(four[k].text == text[k] for k in four if k != 1003)
 
 
+def test_clashing_columns(spark, corpus):
+    path, _ = corpus
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{path}/documents.parquet").filter("doc_id >= 1000")
+    extra = ["score", "ids", "n_tokens", "tk", "component_id", "spans", "base", "tokens", "shard", "n", "c"]
+    wide = docs.select("*", *[F.lit("x").alias(c) for c in extra])
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, wide, path)
+        assert out.columns == wide.columns and out.count() <= wide.count()
+    assert {r.doc_id for r in p.encode(spark, wide, path).collect()} == {r.doc_id for r in docs.collect()}
+
+
 def test_run(spark, corpus):
     path, text = corpus
     m = Machine(read_model())
