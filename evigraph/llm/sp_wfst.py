@@ -40,9 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Model files over this are refused: the file travels with every task.
 MODEL_LIMIT = 64 << 20
 #: Chunks remembered in one generation, and characters of a prefix whose state is remembered.
-MEMORY, PREFIX = 150_000, 6
-#: Bits that tell whether a chunk was met before; most chunks come once and are not worth remembering.
-MET = 1 << 22
+MEMORY, PREFIX = 400_000, 6
 #: Pieces and characters are numbered below this; an arc of the bigram acceptor is one number.
 ARC, ONE = 1 << 22, (1,)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -139,7 +137,6 @@ class Machine:
         self._last: dict[str, int] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
-        self._met, self._fresh = bytearray(MET >> 3), 0
         after = {b for p in self.lexicon for a, b in zip(p, p[1:]) if a.isalpha()}
         cut = "".join(re.escape(c) for c in sorted({c for p in self.lexicon for c in p} - after) if not c.isalnum() and c not in f"_{META}")
         run = f"(?:[^{META}{cut}]+|(?<![^\\W\\d_])[{cut}])" if cut else f"[^{META}]"
@@ -186,7 +183,7 @@ class Machine:
 
     def apart(self, key: int) -> bool:
         """Whether the bigram acceptor has the arc ``key``: from state ``key // ARC - 1`` (-1 at the start, else the last piece) by piece ``key % ARC``."""
-        if len(self._apart) > 4 * MEMORY:
+        if len(self._apart) > 2 * MEMORY:
             self._apart.clear()
         a, b = key // ARC - 1, self._text(key % ARC)
         got = self._apart[key] = self._merged(b) == [b] if a < 0 else self._merged(self._text(a) + b) == [self._text(a), b]
@@ -290,13 +287,7 @@ class Machine:
         got = self._old.get(chunk)
         if got is None:
             got = self.path(chunk)
-        bit = hash(chunk) % MET
-        if not self._met[bit >> 3] >> (bit & 7) & 1:
-            self._met[bit >> 3] |= 1 << (bit & 7)
-            self._fresh += 1
-            if self._fresh > MET // 4:
-                self._met, self._fresh = bytearray(MET >> 3), 0
-        elif len(chunk) <= 64:
+        if len(chunk) <= 64:
             if len(self._known) >= MEMORY:
                 self._old, self._known = self._known, {}
             self._known[chunk] = got
