@@ -5,12 +5,14 @@ only separate. A passage of a document leaks an item when the word edit distance
 item's words, rounded down (items of fewer than five words must occur exactly).
 
 The CGK random walk turns edit distance into Hamming distance: it copies the word at its pointer to the output and advances when a
-random bit of (step, word) says so, so walks over two sequences fall into step again after an edit. Windows have the size of the
-items: sizes grow by steps of about a half, and an item belongs to the largest size of at most ``FIT`` of its words. Items are
-indexed from every start at which a window fits, documents are walked from every ``size // 4``-th word, so any whole copy meets several
-windows wherever it lies. Each of ``REPEATS`` independent walks samples ``BITS`` output coordinates into a key; a shared key is
-a candidate, and the edit distance of the item to the text around the diagonal decides. Copies are always found; for edited
-passages recall depends on the repeats (``tests/llm/test_decontaminate.py`` measures it against brute force).
+random bit of (step, word) says so, so walks over two sequences fall into step again after an edit. Windows are short, as at ``RATE``
+only about four words in a row are sure to be left untouched, however long the item: an item belongs to the largest size of at most ``FIT`` of
+its words. Items are indexed from every start at which a window fits and documents are walked from every word, so an untouched run
+is met wherever it lies. Each of ``REPEATS`` independent walks samples ``BITS`` output coordinates into a key; a shared key is
+a candidate. A walk may linger, so that its key holds one or two words only and matches everywhere: such keys are left out of the index
+unless the item has no other in that repeat. A candidate whose surroundings lack more of the item's words than may be edited cannot leak and goes; for the others the edit
+distance of the item to the text around the diagonal decides. Copies are always found; for edited passages recall depends on the
+repeats (``tests/llm/test_decontaminate.py`` measures it against brute force, up to ``RATE`` itself and for items of 5 to 220 words).
 
 The items are the query set: they travel to tasks in blocks of at most ``ITEMS`` items and every document, whole, is searched
 for each block; nothing is joined. Null or wordless texts and items match nothing; repeated rows get equal results.
@@ -28,8 +30,8 @@ from .common import table
 from .textarrays import U, Block, blocks, mix, starts_of
 
 RATE, FIT = 0.2, 0.6
-SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
-REPEATS, BITS = 2, 6
+SIZES = (1, 2, 3, 4, 6, 8)
+REPEATS, BITS, LEAST = 4, 5, 3
 ITEMS = 20_000
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -96,12 +98,15 @@ class Index:
             for r in range(repeats):
                 at = np.sort(rnd.choice(steps, min(bits, steps), replace=False))
                 salt = U(rnd.integers(1, 1 << 62))
-                keys = walk(flat, where, at, salt)
+                keys, told = walk(flat, where, at, salt, True)
+                good = told >= min(LEAST, max(1, size - 1))
+                good |= ~np.isin(what[:, 0], what[good, 0])
+                keys, mine = keys[good], what[good]
                 order = np.argsort(keys, kind="stable")
                 mask = (1 << max(12, int(len(keys)).bit_length() + 5)) - 1
                 hit = np.zeros(mask + 1, bool)
                 hit[(keys & U(mask)).astype(np.int64)] = True
-                self.tables.append((size, at, salt, keys[order], what[order], U(mask), hit))
+                self.tables.append((size, at, salt, keys[order], mine[order], U(mask), hit))
 
     def search(self, block: Block) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, edits, item words, start byte, end byte), the nearest place of each item in each text."""
@@ -112,8 +117,7 @@ class Index:
         found: dict[tuple[int, int], set[int]] = {}
         owner = w.owners()
         for size, at, salt, keys, what, mask, hit in self.tables:
-            gap = max(1, size // 4)
-            where = np.arange(0, len(h) - size + 1, gap) if gap == 1 else np.flatnonzero((np.arange(len(h)) - first[owner]) % gap == 0)
+            where = np.arange(0, len(h) - size + 1)
             where = where[where + size <= first[owner[where] + 1]]
             mine = walk(h, where, at, salt)
             maybe = np.flatnonzero(hit[(mine & mask).astype(np.int64)])
@@ -138,7 +142,11 @@ class Index:
                     continue
                 tried.append(d)
                 lo, hi = max(left, d - most), min(right, d + m + 2 * most)
-                got = edits(words, h[lo:hi].tolist(), most)
+                around = h[lo:hi].tolist()
+                held = set(around)
+                if sum(x in held for x in words) < m - most:
+                    continue
+                got = edits(words, around, most)
                 if got and (best is None or got[0] < best[0]):
                     best = (got[0], lo + got[1], lo + got[2])
             if best and best[2] > best[1]:
@@ -147,21 +155,25 @@ class Index:
         return out
 
 
-def walk(words: np.ndarray, where: np.ndarray, at: np.ndarray, salt) -> np.ndarray:
-    """Keys of the sampled coordinates ``at`` of the CGK embeddings that start at ``where``."""
+def walk(words: np.ndarray, where: np.ndarray, at: np.ndarray, salt, tell: bool = False):
+    """Keys of the sampled coordinates ``at`` of the CGK embeddings that start at ``where``; with ``tell`` also the number of places that each samples."""
     coin = mix(words ^ salt)
     pos, last = where.copy(), len(words) - 1
     key = np.full(len(where), salt, U)
     sampled = set(at.tolist())
+    places, before = np.zeros(len(where), np.int64), np.full(len(where), -1)
     for j in range(int(at[-1]) + 1):
         here = np.minimum(pos, last)
         if j in sampled:
+            if tell:
+                places += pos != before
+                before = pos.copy()
             key = (key ^ words[here]) * U(0x9FB21C651E98DF25)
             key ^= key >> U(29)
         if j and j % 60 == 0:
             coin = mix(coin)
         pos += ((coin[here] >> U(j % 60)) & U(1)).astype(np.int64)
-    return key
+    return (key, places) if tell else key
 
 
 def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", most: int = ITEMS, **how):

@@ -81,3 +81,30 @@ def test_drop_and_blocks_of_items(spark, monkeypatch):
     assert exact(d.find_leaks(dd, di, most=7)) == exact(d.find_leaks(dd, di))
     assert d.find_leaks(dd, di.limit(0)).count() == 0 and d.drop_leaks(dd.limit(0), di).count() == 0
     assert d.drop_leaks(dd, di.limit(0)).count() == len(docs)
+
+
+def test_recall_at_the_full_rate_and_for_long_items():
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    for m in (5, 7, 10, 15, 20, 40, 59, 100, 200, 220):
+        items = [(i, " ".join(word() for _ in range(m))) for i in range(30)]
+        texts, planted = [], []
+        for i, t in items:
+            for rate in (0.15, 0.2):
+                p = t.split()
+                for _ in range(int(m * rate)):
+                    k = rnd.randrange(len(p))
+                    p[k : k + 1] = rnd.choice([[word()], [], [p[k], word()]])
+                texts.append(" ".join([word() for _ in range(rnd.randint(0, 50))] + p + [word() for _ in range(50)]))
+                planted.append(i)
+        index, found = d.Index(items), {}
+        for block in d.blocks(d.folded(pa.array(texts))):
+            found.update({(block.rows.start + k, index.ids[i]): e for k, i, e, *_ in index.search(block)})
+        want = {(k, i): brute(items[i][1], texts[k]) for k, i in enumerate(planted)}
+        assert None not in want.values()
+        assert sum(x in found for x in want) >= 0.9 * len(want), m
+        full = [(k, i) for k, i in want if k % 2]
+        assert sum(x in found for x in full) >= 0.9 * len(full), m
+        assert all(found[x] >= want[x] for x in want if x in found)
