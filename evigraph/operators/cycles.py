@@ -41,11 +41,11 @@ def _search(names: list[str], edges: dict[str, list[str]]) -> list[list[str]]:
     return [list(c) for c in sorted(found)]
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Edges (src, dst) that can lie on a cycle: sources and sinks are peeled off until none is left."""
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) that can lie on a cycle: sources and sinks are peeled off until none is left, a round for each node of the longest tail."""
     core = cut(edges.filter("src <> dst").select("src", "dst").distinct())
     n = core.count()
-    for _ in range(rounds):
+    while n:
         heads, tails = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
         core = cut(core.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
         m = core.count()
@@ -88,30 +88,34 @@ def cycles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return heads.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, f"cycle array<{kind}>")
 
 
-def scc_members(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of the nodes on cycles, by label propagation forwards and backwards over the cyclic core; scales out."""
+def scc_members(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles, by label propagation forwards and backwards over the cyclic core; scales out.
+
+    Names are ranked by hash, so that no order of names along the edges makes rounds many. Each round settles at least the least node,
+    with its component or as lying on no cycle (between two cycles, say), and rounds go on until the core is empty.
+    """
     out = None
     core = cyclic_core(edges)
-    for _ in range(rounds):
-        if core.isEmpty():
-            break
+    while not core.isEmpty():
         fore, back = _least(core, "src", "dst"), _least(core, "dst", "src")
         both = cut(fore.join(back.withColumnRenamed("least", "b"), "node"))
-        done = both.filter(F.col("least") == F.col("b")).select("node", F.col("least").alias("component"))
+        met = both.filter("least = b").select("node", "least")
+        sizes = met.groupBy("least").agg(F.min("node").alias("component"), F.count("*").alias("n")).filter("n > 1")
+        done = cut(met.join(sizes, "least").select("node", "component"))
         out = done if out is None else out.unionByName(done)
-        rest = both.join(done, "node", "left_anti").select("node", "least")
-        a = core.join(rest.select(F.col("node").alias("src"), F.col("least").alias("l")), "src").join(rest.select(F.col("node").alias("dst"), F.col("least").alias("m")), "dst")
-        core = cyclic_core(a.filter("l = m").select("src", "dst"))
+        rest = both.filter("least <> b")
+        a = core.join(rest.toDF("src", "l", "lb"), "src").join(rest.toDF("dst", "m", "mb"), "dst")
+        core = cyclic_core(a.filter("l = m and lb = mb").select("src", "dst"))
     return out if out is not None else core.select(F.col("src").alias("node"), F.col("src").alias("component"))
 
 
 def _least(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """The least node from which each node is reached along a to b."""
+    """The node of least hash from which each node is reached along a to b."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    label = cut(nodes.withColumn("least", F.col("node")))
+    label = cut(nodes.withColumn("least", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("name"))))
     while True:
         sent = edges.join(label, F.col(a) == F.col("node")).select(F.col(b).alias("node"), "least")
         new = cut(sent.unionByName(label).groupBy("node").agg(F.min("least").alias("least")))
-        if new.join(label.withColumnRenamed("least", "o"), "node").filter("least <> o").isEmpty():
-            return new
+        if new.join(label.withColumnRenamed("least", "o"), "node").filter("least.name <> o.name").isEmpty():
+            return new.select("node", F.col("least.name").alias("least"))
         label = new

@@ -29,6 +29,11 @@ def test_cycles_follow_the_global_search_order(spark):
     assert len(cycles.cycles(long).first().cycle) == 3001
 
 
+def test_scc_members_leaves_out_nodes_between_cycles(spark):
+    between = spark.createDataFrame([("b", "c"), ("c", "b"), ("c", "a"), ("a", "d"), ("d", "e"), ("e", "d")], "src string, dst string")
+    assert rows(cycles.scc_members(between), "node", "component") == [("b", "b"), ("c", "b"), ("d", "d"), ("e", "d")]
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     n = spark.createDataFrame([(x, k, x.upper(), p) for x, k, p in (("p", "project_file", "p.uproject"), ("b", "module", None), ("c", "source", "c.cpp"), ("h", "header", "h.h"))], "node_id string, kind string, name string, path string")
