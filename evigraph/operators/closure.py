@@ -114,22 +114,26 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, center: str, depth: int =
     return nodes.join(seen.withColumnRenamed("node", "node_id"), "node_id"), kept, refused
 
 
-def inherited(bases: DataFrame, values: DataFrame, max_depth: int = 20) -> DataFrame:
+def inherited(bases: DataFrame, values: DataFrame) -> DataFrame:
     """Resolved values along first bases: the nearest non-null ``value``, and the united ``items``, the farthest first.
 
     ``bases``: (name, base), at most one base a name. ``values``: (name, value, items array<string>). ``cyclic`` tells names that
-    meet themselves.
+    meet themselves. A walk goes on, however deep, until it has no base or comes to a name that it had.
     """
     pairs = cut(values.select("name").withColumn("at", F.col("name")).withColumn("d", F.lit(0)))
     every, frontier = pairs, pairs
     one = bases.groupBy(F.col("name").alias("at")).agg(F.min("base").alias("up"))
-    for d in range(1, max_depth + 1):
-        frontier = cut(frontier.filter(F.lit(d) == F.lit(1)) .unionByName(frontier.filter((F.lit(d) > 1) & (F.col("at") != F.col("name")))).join(one, "at").select("name", F.col("up").alias("at"), F.lit(d).alias("d")))
-        if frontier.isEmpty():
-            break
+    met, d = pairs.limit(0), 0
+    while not frontier.isEmpty():
+        d += 1
+        above = cut(frontier.join(one, "at").select("name", F.col("up").alias("at"), F.lit(d).alias("d")))
+        met = met.unionByName(above.filter("at = name"))
+        frontier = cut(above.join(every, ["name", "at"], "left_anti"))
         every = every.unionByName(frontier)
-    cyclic = every.filter("d > 0 and at = name").select("name").distinct().withColumn("cyclic", F.lit(True))
-    told = every.filter("d = 0 or at <> name").join(values.withColumnRenamed("name", "at"), "at")
+        if d % 8 == 0:
+            every, met = cut(every), cut(met)
+    cyclic = met.select("name").distinct().withColumn("cyclic", F.lit(True))
+    told = every.join(values.withColumnRenamed("name", "at"), "at")
     out = told.groupBy("name").agg(
         F.min_by("value", F.when(F.col("value").isNotNull(), F.col("d"))).alias("value"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("o"), "items"))), lambda x: F.coalesce(x["items"], F.array().cast("array<string>"))))).alias("items"),

@@ -73,6 +73,11 @@ def test_hierarchy(spark):
     assert got["E"] == ("typ", ["b", "d", "e"], False) and got["B"] == ("typ", ["b", "d"], False)
     w = spark.createDataFrame([("A", None, ["a"]), ("B", None, ["b"])], "name string, value string, items array<string>")
     assert all(r.cyclic for r in closure.inherited(loop, w).collect())
+    deep = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(24)] + [("t", "A"), ("A", "B"), ("B", "A")], "name string, base string")
+    x = spark.createDataFrame([(f"n{i}", "far" if i == 24 else None, [f"i{i}"]) for i in range(25)] + [(k, None, [k]) for k in "tAB"], "name string, value string, items array<string>")
+    got = {r.name: r for r in closure.inherited(deep, x).collect()}
+    assert got["n0"].value == "far" and got["n0"]["items"] == [f"i{i}" for i in range(24, -1, -1)]
+    assert got["A"].cyclic and not got["t"].cyclic and set(got["t"]["items"]) == set("tAB")
 
 
 def test_blueprint_reachability(spark):
