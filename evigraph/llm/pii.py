@@ -11,7 +11,8 @@ signs spelled out). Trees score each candidate from its format (length, shares o
 digits, character variety, case changes, groups) and its context (key words, assignment and quote before it). They are fitted on
 texts that this module writes itself from a seed (spans known), a quarter of which calibrates the margin (Platt) and sets,
 for each generator, the threshold that reaches ``PRECISION``. The fitted trees are compiled to ``CASE`` expressions.
-A candidate is added when it passes its threshold, overlaps no base span, and no better candidate overlaps it.
+A candidate is added when it passes its threshold, lies inside no base span, and overlaps no better candidate that is added; it may
+overlap or hold base spans, which stay.
 
 Spans are in code points, ends exclusive. Null text counts as empty; repeated rows get equal results; whole texts are
 searched; extra columns pass through.
@@ -262,8 +263,10 @@ def find_spans(df: DataFrame, text: str = "text", base: str = "base", spans: str
     enough = F.array(*[F.lit(x) for x in least])
     over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     taken = with_base.withColumn("__cand", F.filter(scored, lambda c: c["m"] >= F.get(enough, c["g"])))
-    better = lambda a, b: (a["m"] > b["m"]) | (a["m"] == b["m"]) & (a["g"] < b["g"])
-    added = F.filter("__cand", lambda c: ~F.exists("__base", lambda b: over(b, c)) & ~F.exists("__cand", lambda d: over(c, d) & better(d, c)))
+    open_ = F.filter("__cand", lambda c: ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+    best = F.array_sort(F.transform(open_, lambda c: F.struct((-c["m"]).alias("less"), c["g"].alias("g"), c["start"].alias("start"), c["end"].alias("end"))))
+    none = F.array().cast("array<struct<less:double,g:int,start:bigint,end:bigint>>")
+    added = F.aggregate(best, none, lambda acc, c: F.when(F.exists(acc, lambda d: over(c, d)), acc).otherwise(F.concat(acc, F.array(c))))
     extra = F.transform(added, lambda c: F.struct((c["g"] + len(BASE)).alias("k"), c["start"].alias("start"), c["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])
     show = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))

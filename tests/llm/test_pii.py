@@ -67,6 +67,16 @@ def test_added_spans_and_redaction(spark):
     assert pii.redact(df).columns == df.columns and pii.redact(df.limit(0)).count() == 0
 
 
+def test_secrets_and_numbers_that_hold_base_spans_go_whole(spark):
+    key = "ab4111111111111111cdef0123456789abcdef01"
+    rows = [(1, f'the token = "{key}" is here'), (2, "ssn: 123-45-6789 1.2.3.4 and on")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {(s.kind, rows[r.doc_id - 1][1][s.start : s.end]) for s in r.spans} for r in pii.find_spans(df).collect()}
+    assert got[1] == {("card", "4111111111111111"), ("secret", key)} and ("ip", "1.2.3.4") in got[2]
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert out[1] == 'the token = "<SECRET>" is here' and "6789" not in out[2] and "1.2.3.4" not in out[2]
+
+
 def test_compiled_trees_equal_the_arrays(spark):
     import numpy as np
     from pyspark.sql import functions as F
