@@ -7,10 +7,11 @@ difference. A logistic curve fitted on labelled rows that the dictionaries have
 the classes are in all labels, makes it a score. A short text says little, so its margin is drawn to that of the
 classes' shares: ``HALF`` bytes have half the weight of a long text.
 
-Fitting takes at most ``PER_CLASS`` labelled documents of each class and at most ``TRAIN_BYTES`` of
-each such text; scoring takes every whole text. Null and empty texts score
-the share of good labels. Where labelled rows of one class are missing, every score is the smoothed share of
-good rows. Repeated rows get equal scores; other columns pass through.
+Fitting takes a sample of labelled documents, each of them whole: of each class at most ``PER_CLASS``, in order of the ids' hashes, and no more
+than fit into ``CLASS_BYTES`` (the first one in any case). Scoring takes every whole text. Null and empty texts score
+the share of good labels. Where a class has fewer than ``LEAST`` sampled documents with text, there is nothing to calibrate with and every score is the smoothed share of
+good labels. Where zstandard refuses to train on so little text, the last ``DICTIONARY`` bytes of the class's texts are its dictionary.
+An id that several documents have counts once when fitting. Repeated rows get equal scores; other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 from . import labelled
 from .common import over_texts, table
 
-PER_CLASS, TRAIN_BYTES = 3000, 8192
+#: The sample: documents of each class, and bytes of their texts.
+PER_CLASS, CLASS_BYTES = 3000, 24 << 20
+#: Documents with text that each class needs.
+LEAST = 4
 DICTIONARY, PIECE, LEVEL = 32768, 1500, 3
 THRESHOLD = 0.7
 HALF = 150
@@ -88,10 +92,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "quality") -> Model:
-    chosen = labelled.sample(docs, labels, per_class, label)
-    cut = F.substring(F.col("__text"), 1, TRAIN_BYTES)  # of the fitting sample alone
-    rows = sorted((r[0], r[1], r[2]) for r in chosen.select("__id", "__label", cut).collect())
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "quality", class_bytes: int = CLASS_BYTES) -> Model:
+    chosen = labelled.within(labelled.sample(docs, labels, per_class, label), class_bytes)
+    rows = sorted(tuple(r) for r in chosen.select("__id", "__label", "__text").collect())
     sides: dict[int, list[str]] = {0: [], 1: []}
     for _, y, t in rows:
         if t:
@@ -99,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~labelled.is_held_out())
     count = {0: 1, 1: 1} | {r[0]: r[1] + 1 for r in known.groupBy(label).count().collect()}
     prior = float(np.log(count[1] / count[0]))
-    if min(map(len, sides.values())) < 4:
+    if min(map(len, sides.values())) < LEAST:
         return Model(b"", b"", 0.0, prior, prior)
     # three of four rows train the dictionaries, the fourth calibrates
     for_dictionary = {y: [t.encode("utf-8", "surrogatepass") for k, t in enumerate(v) if k % 4] for y, v in sides.items()}
