@@ -14,8 +14,10 @@ unless the item has no other in that repeat. A candidate whose surroundings lack
 distance of the item to the text around the diagonal decides. Copies are always found; for edited passages recall depends on the
 repeats (``tests/llm/test_decontaminate.py`` measures it against brute force, up to ``RATE`` itself and for items of 5 to 220 words).
 
-The items are the query set: they travel to tasks in blocks of at most ``ITEMS`` items and every document, whole, is searched
-for each block; nothing is joined. Null or wordless texts and items match nothing; repeated rows get equal results.
+The items are the query set: they travel to tasks in blocks of about at most ``ITEMS`` items and ``ITEM_BYTES`` bytes, and every document, whole,
+is searched for each block; nothing is joined. Null or wordless texts and items match nothing; repeated documents get equal rows, and items with
+equal words a row each; of places of an item that are equally near, the first to end counts, then the latest to start. Other columns of the two tables are not read and may
+have any names; ``drop_leaks`` passes them through. Very long items take time in proportion to their words and those around a candidate.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from .textarrays import U, Block, blocks, mix, starts_of
 RATE, FIT = 0.2, 0.6
 SIZES = (1, 2, 3, 4, 6, 8)
 REPEATS, BITS, LEAST = 4, 5, 3
-ITEMS = 20_000
+#: Items of a block that travels to tasks, and bytes of their texts.
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -42,32 +45,30 @@ def folded(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def edits(item: list[int], text: list[int], most: int) -> tuple[int, int, int] | None:
-    """(distance, start, end) of the part of ``text`` nearest to ``item``, or None if over ``most``. Of equal ones the first to end, then the latest to start."""
+def edits(item, text, most: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the part of ``text`` nearest to ``item``, or None if over ``most``. Of equal ones the first to end, then the latest to start.
+
+    A row of the table is one array: its cells hold the distance and, below it, how far from the end of the text the part starts, so
+    that the least cell is the nearest part; steps along the row are a running minimum.
+    """
+    item, text = np.asarray(item), np.asarray(text)
     n = len(text)
-    row, start = [0] * (n + 1), list(range(n + 1))
+    one = n + 1  # an edit outweighs any start
+    kind = np.int32 if one * (n + len(item) + 2) < 1 << 31 else np.int64
+    along = np.arange(n + 1, dtype=kind) * kind(one)
+    row = (n - np.arange(n + 1)).astype(kind)
+    new = np.empty(n + 1, kind)
     for i, w in enumerate(item, 1):
-        diag, diag_at = row[0], start[0]
-        row[0], start[0] = i, 0
-        best = i
-        for j in range(1, n + 1):
-            up, up_at = row[j], start[j]
-            d, at = diag + (text[j - 1] != w), diag_at
-            if up + 1 < d:
-                d, at = up + 1, up_at
-            if row[j - 1] + 1 < d:
-                d, at = row[j - 1] + 1, start[j - 1]
-            diag, diag_at = up, up_at
-            row[j], start[j] = d, at
-            if d < best:
-                best = d
-        if best > most:
+        np.add(row, one, out=new)
+        np.minimum(new[1:], row[:-1] + (text != w) * kind(one), out=new[1:])
+        new -= along
+        np.minimum.accumulate(new, out=row)
+        row += along
+        if i > most and row.min() // one > most:
             return None
-    d = min(row)
-    if d > most:
-        return None
-    j = row.index(d)
-    return d, start[j], j
+    cost = row // one
+    j = int(cost.argmin())
+    return (int(cost[j]), n - int(row[j] % one), j) if cost[j] <= most else None
 
 
 class Index:
@@ -134,19 +135,19 @@ class Index:
             m, best = len(words), None
             most = int(self.rate * m)
             left, right = int(first[text]), int(first[text + 1])
-            tried: list[int] = []
-            for d in sorted(diagonals):
-                if best is not None and best[0] == 0:
-                    break
-                if tried and d - tried[-1] <= most // 2:  # the text around that diagonal holds this one
-                    continue
-                tried.append(d)
-                lo, hi = max(left, d - most), min(right, d + m + 2 * most)
-                around = h[lo:hi].tolist()
-                held = set(around)
+            near = sorted(diagonals)
+            k = 0
+            while k < len(near) and (best is None or best[0] > 0):
+                d = e = near[k]  # diagonals that lie close together share the text around them
+                while k < len(near) and near[k] - e <= 2 * most and near[k] - d <= m:
+                    e = near[k]
+                    k += 1
+                lo, hi = max(left, d - most), min(right, e + m + 2 * most)
+                around = h[lo:hi]
+                held = set(around.tolist())
                 if sum(x in held for x in words) < m - most:
                     continue
-                got = edits(words, around, most)
+                got = edits(np.array(words, U), around, most)
                 if got and (best is None or got[0] < best[0]):
                     best = (got[0], lo + got[1], lo + got[2])
             if best and best[2] > best[1]:
@@ -176,10 +177,11 @@ def walk(words: np.ndarray, where: np.ndarray, at: np.ndarray, salt, tell: bool
     return (key, places) if tell else key
 
 
-def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", most: int = ITEMS, **how):
-    """The items as indexes of at most about ``most`` items each, one after another."""
-    own = benchmark.select(F.col(key).alias("i"), F.col(text).cast("string").alias("t")).filter(F.col("t").isNotNull())
-    n = -(-own.count() // most)
+def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", most: int = ITEMS, most_bytes: int = ITEM_BYTES, **how):
+    """The items as indexes, one after another, each of about at most ``most`` items and ``most_bytes`` bytes of text (or one longer item)."""
+    own = benchmark.select(F.col(f"`{key}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).filter(F.col("t").isNotNull())
+    count, size = own.agg(F.count("*"), F.sum(F.octet_length("t").cast("long"))).first()
+    n = max(-(-count // most), -(-(size or 0) // most_bytes))
     for b in range(n):
         rows = own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect() if n > 1 else own.collect()
         yield Index(sorted(((r.i, r.t) for r in rows), key=lambda r: (r[0] is None, r)), **how)

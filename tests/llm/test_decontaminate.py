@@ -108,3 +108,48 @@ def test_recall_at_the_full_rate_and_for_long_items():
         full = [(k, i) for k, i in want if k % 2]
         assert sum(x in found for x in full) >= 0.9 * len(full), m
         assert all(found[x] >= want[x] for x in want if x in found)
+
+
+def plain_edits(item, text):
+    """Every part of the text, by the textbook table."""
+    best = None
+    for a in range(len(text) + 1):
+        prev = list(range(len(item) + 1))
+        for b in range(a, len(text) + 1):
+            if b > a:
+                cur = [b - a]
+                for i, w in enumerate(item, 1):
+                    cur.append(min(prev[i] + 1, cur[-1] + 1, prev[i - 1] + (w != text[b - 1])))
+                prev = cur
+            best = min(best or (99, 0, 0), (prev[-1], b, -a))
+    return best[0], -best[2], best[1]
+
+
+def test_edits_equal_the_textbook():
+    rnd = random.Random(8)
+    for _ in range(300):
+        item = [rnd.randrange(4) for _ in range(rnd.randint(1, 6))]
+        text = [rnd.randrange(4) for _ in range(rnd.randint(0, 9))]
+        want = plain_edits(item, text)
+        for most in (want[0], want[0] + 2):
+            assert d.edits(item, text, most) == want
+        if want[0]:
+            assert d.edits(item, text, want[0] - 1) is None
+
+
+def test_very_long_items_and_clashing_columns(spark):
+    import time
+
+    rnd = random.Random(5)
+    item = [f"w{rnd.randrange(9000)}" for _ in range(10_000)]
+    near = list(item)
+    for k in range(0, 10_000, 12):
+        near[k] = "changed"
+    docs = spark.createDataFrame([(1, "x " * 300 + " ".join(near), "a"), (2, "plain words", "b")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(7, " ".join(item), "c"), (8, "some other words here now", "d")], "item_id long, text string, doc_id string")
+    began = time.time()
+    got = d.find_leaks(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.edits, r.item_words) for r in got] == [(1, 7, 834, 10_000)]
+    assert time.time() - began < 30
+    left = d.drop_leaks(docs, items, most_bytes=40_000)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
