@@ -11,11 +11,11 @@ signs spelled out). Trees score each candidate from its format (length, shares o
 digits, character variety, case changes, groups) and its context (key words, assignment and quote before it). They are fitted on
 texts that this module writes itself from a seed (spans known), a quarter of which calibrates the margin (Platt) and sets,
 for each generator, the threshold that reaches ``PRECISION``. The fitted trees are compiled to ``CASE`` expressions.
-A candidate is added when it passes its threshold, lies inside no base span, and overlaps no better candidate that is added; it may
-overlap or hold base spans, which stay.
+A candidate is added when it passes its threshold and lies inside no base span and no other candidate that passes (of equal ones the generator
+listed first stays); it may overlap or hold base spans, which stay. All steps are linear in the text, but for sorting a text's spans.
 
-Spans are in code points, ends exclusive. Null text counts as empty; repeated rows get equal results; whole texts are
-searched; extra columns pass through.
+Spans are in code points, ends exclusive. Null text counts as empty; repeated rows get equal results; whole texts, however long, are
+searched; result columns replace columns of their names, the others pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import table
+from .common import table, without
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _AT_START = r"(?:\G|(?<!{0}))"
@@ -47,7 +47,8 @@ GENERATORS = {
 }
 _MAY = {"secret": "[A-Za-z0-9_+/-]{16}", "number": "[0-9]", "contact": "[0-9]{3}", "address": r"[(\[]at[)\]]"}
 KINDS = (*BASE, *GENERATORS)
-CONTEXT = 32
+#: Characters of context before a candidate, and code points of the parts that a text is cut into when it is rewritten.
+CONTEXT, PART = 32, 512
 _WORDS = r"(?i)(token|secret|api.?key|password|passwd|pwd|auth|bearer|credential|private.?key|access.?key)\W{0,8}$"
 _PERSON = r"(?i)(tel|phone|call|mobile|fax|ssn|social security|passport|account|iban|card|contact|licen[cs]e no|id no)\W{0,8}(no|number|nr)?\W{0,6}$"
 _MAIL = r"(?i)(mail|contact|write|reach)\W{0,8}(to|me|us)?\W{0,6}$"
@@ -56,19 +57,31 @@ PRECISION, SEED, TEXTS = 0.97, 11, 1500
 _SPAN = "array<struct<start:bigint,end:bigint,s:string,before:string>>"
 
 
+def _scan(values: Column, join) -> Column:
+    """The running ``join`` of an array, by doubling: n log n steps and no growing arrays."""
+    step = lambda k: F.call_function("shiftleft", F.lit(1), k)
+
+    def of(v: Column) -> Column:
+        rounds = F.when(F.size(v) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(rounds, v, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= step(k), join(x, F.get(acc, i - step(k)))).otherwise(x)))
+
+    return _bound(values, of)
+
+
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _matches(text: Column, pattern: str, may: Column) -> Column:
-    """Leftmost non-overlapping matches with places and the text before each. The pieces between matches place them, so the cost is linear in the text."""
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
-    none = F.array().cast(_SPAN)
+    """Leftmost non-overlapping matches with places and the text before each. The pieces between matches place them, so no text is searched twice for a place."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["p"]).cast("long")
-        end = start + F.length(x["m"]).cast("long")
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s"), F.substring(x["p"], -CONTEXT, CONTEXT).alias("before"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out")))
+    def placed(x: Column) -> Column:
+        size = F.transform(x["m"], lambda m, i: (F.length(m) + F.length(F.get(x["p"], i))).cast("long"))
+        return _bound(_scan(size, lambda a, b: a + b), lambda ends: F.transform(x["m"], lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("s"), F.substring(F.get(x["p"], i), -CONTEXT, CONTEXT).alias("before"))))
 
-    found = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(may, found).otherwise(none)
+    found = _bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")), placed)
+    return F.when(may, found).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(s: Column) -> Column:
@@ -261,36 +274,47 @@ def find_spans(df: DataFrame, text: str = "text", base: str = "base", spans: str
     with_base = df.withColumn("__base", F.concat(*named)).withColumn("__cand", _candidates(body))
     scored = F.transform("__cand", lambda c: F.struct(c["g"].alias("g"), c["start"].alias("start"), c["end"].alias("end"), compiled(trees, c).alias("m")))
     enough = F.array(*[F.lit(x) for x in least])
-    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    taken = with_base.withColumn("__cand", F.filter(scored, lambda c: c["m"] >= F.get(enough, c["g"])))
-    open_ = F.filter("__cand", lambda c: ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
-    best = F.array_sort(F.transform(open_, lambda c: F.struct((-c["m"]).alias("less"), c["g"].alias("g"), c["start"].alias("start"), c["end"].alias("end"))))
-    none = F.array().cast("array<struct<less:double,g:int,start:bigint,end:bigint>>")
-    added = F.aggregate(best, none, lambda acc, c: F.when(F.exists(acc, lambda d: over(c, d)), acc).otherwise(F.concat(acc, F.array(c))))
-    extra = F.transform(added, lambda c: F.struct((c["g"] + len(BASE)).alias("k"), c["start"].alias("start"), c["end"].alias("end")))
+    passed = F.filter(scored, lambda c: c["m"] >= F.get(enough, c["g"]))
+    spans_of = F.concat(F.col("__base"), F.transform(passed, lambda c: F.struct((c["g"] + len(BASE)).alias("k"), c["start"].alias("start"), c["end"].alias("end"))))
+
+    def outer(items: Column) -> Column:
+        """Spans in order of start, the longest first; a candidate inside one before it goes."""
+        far = _scan(F.transform(items, lambda x: -x["less"]), F.greatest)
+        return _bound(far, lambda tops: F.filter(items, lambda x, i: (x["k"] < len(BASE)) | (i == 0) | (F.get(tops, i - 1) < -x["less"])))
+
+    ordered = F.array_sort(F.transform(spans_of, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["k"].alias("k"))))
+    every = F.transform(_bound(ordered, outer), lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), (-x["less"]).alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])
     show = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return taken.withColumn(spans, show(F.concat("__base", extra))).withColumn(base, show(F.col("__base"))).drop("__base", "__cand")
+    out = with_base.withColumn("__every", show(every)).withColumn("__base", show(F.col("__base")))
+    return without(out, base, spans).withColumnsRenamed({"__base": base, "__every": spans}).drop("__cand")
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with each span of its text replaced by ``<KIND>``; overlapping spans of several kinds become one mark, that of the first. Null stays null."""
+    """``df`` with each span of its text replaced by ``<KIND>``; overlapping spans of several kinds become one mark, that of the first. Null stays null.
+
+    Texts are cut into parts of ``PART`` code points first, so that what lies between two spans is found without reading from the text's beginning.
+    """
     found = find_spans(df, text, "__b", "__s")
     body = F.col(f"`{text}`").cast("string")
     ordered = F.array_sort(F.transform("__s", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["kind"].alias("kind"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = -x["less"]
-        inside = x["start"] < acc["pos"]
-        return F.struct(
-            F.greatest(end, acc["pos"]).alias("pos"),
-            F.when(inside, acc["out"])
-            .otherwise(F.concat(acc["out"], F.substring(body, (acc["pos"] + 1).cast("int"), (x["start"] - acc["pos"]).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-            .alias("out"),
-        )
-
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["pos"] + 1).cast("int"), F.length(body))))
+    def rewritten(x: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / PART).cast("int")
+            near = F.array_join(F.slice(x["parts"], first + 1, F.floor(b / PART).cast("int") - first + 1), "")
+            return F.substring(near, (a - first * PART + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+
+        def marked(far: Column) -> Column:
+            before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(far, i - 1))
+            opens = F.filter(F.transform(x["spans"], lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), before(i).alias("before"))), lambda s: s["start"] >= s["before"])
+            pieces = F.transform(opens, lambda s: F.concat(between(s["before"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            return F.concat(F.array_join(pieces, ""), between(F.element_at(far, -1), x["n"]))
+
+        return _bound(_scan(F.transform(x["spans"], lambda s: -s["less"]), F.greatest), marked)
+
+    parts = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    done = _bound(F.struct(ordered.alias("spans"), parts.alias("parts"), F.length(body).cast("long").alias("n")), rewritten)
     return found.withColumn(text, F.when(F.size("__s") > 0, done).otherwise(body)).drop("__b", "__s")
 
 

@@ -87,3 +87,73 @@ def test_compiled_trees_equal_the_arrays(spark):
     rows = df.select(F.explode(pii._candidates(F.col("text"))).alias("c")).select("c.*", pii.compiled(trees, F.col("c")).alias("m")).collect()
     x = np.array([[r[k] for k in pii.FEATURES] for r in rows], float)
     assert np.allclose(trees.margin(x), [r.m for r in rows])
+
+
+def test_many_numbers_take_linear_time(spark):
+    import time
+
+    numbers = lambda n: " ".join(f"{(i * 7919) % 100000:05d}" + ("" if i % 3 else f" +1 555 {i % 1000:03d} {i % 10000:04d}, ") for i in range(n))
+    took = {}
+    for n in (2_000, 32_000, 32_000):
+        df = spark.createDataFrame([(1, numbers(n))], "doc_id long, text string")
+        began = time.time()
+        assert pii.redact(df).selectExpr("length(text) n").first().n > 0
+        took[n] = time.time() - began
+    assert took[32_000] < 8
+
+
+def test_clashing_columns_are_replaced_or_pass(spark):
+    df = spark.createDataFrame([(1, "me@x.org", "old", 5, "k")], "doc_id long, text string, Base string, spans int, kind string")
+    got = pii.find_spans(df)
+    assert sorted(got.columns) == ["base", "doc_id", "kind", "spans", "text"] and [s.kind for s in got.first().spans] == ["email"]
+    assert tuple(pii.redact(df).first()) == (1, "<EMAIL>", "old", 5, "k") and pii.redact(df).columns == df.columns
+
+
+def plain_spans(found, m):
+    """Base spans and passing candidates without those inside another, by pairs."""
+    out = []
+    for a in found:
+        inside = lambda b: b[1] <= a[1] and a[2] <= b[2]
+        if a[0] < len(pii.BASE) or not any(b is not a and inside(b) and (b[1:] != a[1:] or b[0] < a[0]) for b in found):
+            out.append(a)
+    return sorted(out)
+
+
+def test_spans_and_redaction_equal_a_plain_selection(spark):
+    import re as r_
+
+    trees, least = pii.fit(spark)
+    made = [t for t, _ in pii._training_texts(5, 150)] + [t for t in texts() if t and len(t) < 400][:200] + ["\U0001f600" * 700 + " me@x.org " + "é" * 600 + " 1.2.3.4"]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    from pyspark.sql import functions as F
+
+    cands = {}
+    for r in df.select("doc_id", F.explode(pii._candidates(F.col("text"))).alias("c")).select("doc_id", "c.g", "c.start", "c.end", pii.compiled(trees, F.col("c")).alias("m")).collect():
+        if r.m >= least[r.g]:
+            cands.setdefault(r.doc_id, []).append((r.g + len(pii.BASE), r.start, r.end))
+    found = {r.doc_id: r for r in pii.find_spans(df).collect()}
+    red = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    names = list(pii.KINDS)
+    for k, t in enumerate(made):
+        base = [(names.index(x.split(":")[0]), *map(int, x.split(":")[1:])) for x in brute(t)]
+        want = plain_spans(base + cands.get(k, []), None)
+        assert [(names.index(s.kind), s.start, s.end) for s in found[k].spans] == want
+        out, pos = "", 0
+        for a, e, kind in sorted((a, -e, kind) for kind, a, e in want):
+            if a >= pos:
+                out += t[pos:a] + f"<{names[kind].upper()}>"
+            pos = max(pos, -e)
+        assert red[k] == out + t[pos:]
+    assert r_.search("<EMAIL>", red[len(made) - 1])
+
+
+def test_added_spans_against_labelled_texts(spark):
+    made = pii._training_texts(1234, 400)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind in pii.GENERATORS] for r in pii.find_spans(df).collect()}
+    near = lambda a, b: min(a[1], b[1]) - max(a[0], b[0]) > 0.5 * (b[1] - b[0])
+    truth = [(i, s) for i, (_, spans) in enumerate(made) for s in spans]
+    added = [(i, s) for i, v in got.items() for s in v]
+    recall = sum(any(near(g, s) for g in got[i]) for i, s in truth) / len(truth)
+    precision = sum(any(near(s, g) for g in made[i][1]) for i, s in added) / len(added)
+    assert recall >= 0.9 and precision >= 0.93, (recall, precision)
