@@ -3,33 +3,34 @@
 Rows are ordered by ``(hash of the text, hash of the key, key)``. The driver keeps, for each splitter,
 the interval of keys it must lie in; each round counts exact bytes and rows below probes that divide
 those intervals (one distributed aggregation with a few thousand result rows at most per splitter),
-until a probe is within tolerance of the splitter's target. Then every row's place follows from its
+until a probe is within tolerance of the splitter's target. Then every row's shard follows from its
 own key, and one exchange brings the rows of a slice together to number them.
 
 Law ``bytes``: shard sizes differ by the tolerance or by one document, whichever is more. Equal texts
 (a group) are neighbours in this order; a splitter goes to a group's edge where that meets the
 tolerance and cuts a group only where the group itself is too large, so a group of any size is spread
-over as many shards and tasks as its bytes need. A shard is numbered in slices of bounded size, so no
-task sorts a whole shard.
+over as many shards and tasks as its bytes need. A shard is numbered in slices of about ``SLICE_BYTES``, which a hash of key and
+text deals, so no task sorts a whole shard; slots go by slice, and by key inside one. What the driver keeps depends on the
+number of shards alone: their splitters, and for each of them the buckets of one round.
 
 Null texts count no bytes; null keys are one key; repeated rows each get a slot; rows equal in both key
-and text stay in one shard. Other columns pass through. An empty table gives no rows.
+and text stay in one shard and slice. Result columns replace columns of their names, others pass through. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialise, table, without
 
 SHARDS = 40
 #: Largest distance of a splitter from its target, as a share of a shard's bytes.
 TOLERANCE = 0.0005
-#: Bytes of text in a slice, at most about; and slices at most, which bounds what the driver keeps.
-SLICE_BYTES, MOST_SLICES = 16 << 20, 20_000
+#: Bytes of text in a slice, at most about.
+SLICE_BYTES = 16 << 20
 #: Bits by which a round narrows an interval.
 STEP = 11
 OVERHEAD = 16
@@ -126,31 +127,28 @@ def shard_documents(
     rows = sized(df, text, key)
     keys = materialise(rows.select("__k1", "__k2", "__size"), "shard-keys")
     total = keys.agg(F.sum("__size")).first()[0] or 0
-    per = max(1, min(-(-total // (n_shards * slice_bytes)), MOST_SLICES // n_shards or 1))
+    per = max(1, -(-total // (n_shards * slice_bytes)))
     share = total / n_shards
-    wanted = [(round(total * i / (n_shards * per)), int(share * tolerance) if i % per == 0 else int(share / per / 4)) for i in range(1, n_shards * per)]
+    wanted = [(round(share * i), int(share * tolerance)) for i in range(1, n_shards)]
     splitters = find_splitters(keys, total, wanted) if total else []
     s1 = np.array([min(a, (1 << 63) - 1) for a, _ in splitters], np.int64)
     s2 = np.array([b for _, b in splitters], np.int64)
     shared = df.sparkSession.sparkContext.broadcast((s1, s2))
 
-    @F.pandas_udf(T.IntegerType())
-    def slice_of(k1, k2):
-        import pandas as pd
-
-        return pd.Series(place(k1.to_numpy(), k2.to_numpy(), *shared.value).astype(np.int32))
-
-    counts = dict(map(tuple, keys.select(slice_of("__k1", "__k2").alias("s")).groupBy("s").count().collect()))
-    before, seen = [], {}
-    for s in range(n_shards * per):
-        before.append(seen.get(s // per, 0))
-        seen[s // per] = seen.get(s // per, 0) + counts.get(s, 0)
-    ahead = df.sparkSession.createDataFrame([(s, n) for s, n in enumerate(before)], "__slice int, __ahead long")
-    order = Window.partitionBy("__slice").orderBy("__k1", "__k2", F.col(f"`{key}`"))
-    placed = rows.withColumn("__slice", slice_of("__k1", "__k2"))
-    numbered = placed.withColumn("__n", F.row_number().over(order)).join(F.broadcast(ahead), "__slice")  # at most MOST_SLICES small rows
+    @F.arrow_udf("int")
+    def shard_of(k1: pa.Array, k2: pa.Array) -> pa.Array:
+        return pa.array(place(k1.to_numpy(), k2.to_numpy(), *shared.value).astype(np.int32))
+
+    def dealt(d: DataFrame) -> DataFrame:
+        return d.withColumn("__shard", shard_of("__k1", "__k2")).withColumn("__slice", F.pmod(F.xxhash64("__k1", "__k2"), F.lit(per)))
+
+    slices = dealt(keys).groupBy("__shard", "__slice").agg(F.count("*").alias("__many"))  # small rows, one for each slice
+    before = Window.partitionBy("__shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = slices.select("__shard", "__slice", F.coalesce(F.sum("__many").over(before), F.lit(0)).alias("__ahead"))
+    order = Window.partitionBy("__shard", "__slice").orderBy("__k1", "__k2", F.col(f"`{key}`"))
+    numbered = dealt(rows).withColumn("__n", F.row_number().over(order)).join(ahead, ["__shard", "__slice"])
     return (
-        numbered.withColumn("shard", F.floor(F.col("__slice") / F.lit(per)).cast("int"))
+        numbered.withColumn("shard", F.col("__shard"))
         .withColumn("slot", F.col("__ahead") + F.col("__n") - F.lit(1).cast("long"))
         .select(*[F.col(f"`{c}`") for c in df.columns], "shard", "slot")
     )

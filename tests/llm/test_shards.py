@@ -52,3 +52,30 @@ def test_query_columns(spark, tmp_path):
     spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in query(spark, str(tmp_path)).collect()}
     assert got[1].size == 18 and got[2].size == 16 and got[2].text_crc32 == 0 and got[1].grown_shard is None
+
+
+def test_sizes_and_sums_equal_a_plain_count(spark, tmp_path):
+    import zlib
+
+    rnd = random.Random(2)
+    texts = {i: rnd.choice(["é", "x", "漢"]) * rnd.randint(0, 50) for i in range(500)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = query(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == {k: (len(t.encode()) + 16, zlib.crc32(t.encode())) for k, t in texts.items()}
+    total, size = sum(len(t.encode()) + 16 for t in texts.values()), defaultdict(int)
+    for r in got:
+        size[r.shard] += r["size"]
+    assert all(abs(v - total / 40) <= 170 for v in size.values()) and len(size) == 40
+
+
+def test_splitters_equal_sorted_sums(spark):
+    from evigraph.llm import shards
+
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(1 << 20), rnd.randrange(1 << 63), rnd.randint(1, 60)) for _ in range(3000)] + [(77, rnd.randrange(1 << 63), 30) for _ in range(1500)]
+    keys = spark.createDataFrame(rows, "__k1 long, __k2 long, __size long")
+    total = sum(r[2] for r in rows)
+    wanted = [(total * i // 9, 40) for i in range(1, 9)]
+    got = shards.find_splitters(keys, total, wanted)
+    for at, (target, tol) in zip(got, wanted):
+        assert abs(sum(n for a, b, n in rows if (a, b) < at) - target) <= max(tol, 60)
