@@ -2,9 +2,10 @@
 
 The compiled machine is the composition of three parts:
 
-* the *normaliser*: optional dummy prefix, optional removal of extra white space, space to
+* the *normaliser*: the model's compiled character map, if it has one (a double-array trie of byte strings, compiled to arcs that
+  rewrite the longest match), optional dummy prefix, optional removal of extra white space, space to
   the meta symbol ``\\u2581``;
-* the *lexicon*: one path per piece, plus for every character outside the vocabulary a path that
+* the *lexicon*: one arc per piece that emits its id, plus for every character outside the vocabulary an arc that
   emits its bytes (byte fallback), or ``<unk>`` where the model has no byte pieces;
 * for models trained by byte-pair merges, a *bigram acceptor* whose states are the last piece
   read: the arc from ``a`` to ``b`` weighs 0 when the merges keep ``a|b`` apart and infinity
@@ -16,7 +17,7 @@ is composed with the machine chunk by chunk: no piece crosses from another chara
 symbol, or from a letter to certain marks (those that follow a letter in no piece), so runs between
 such places are independent, and the shortest path of a run is remembered (bounded memory).
 
-Null text encodes as empty. Decoding inverts encoding: bytes are gathered into UTF-8 (ill-formed
+Null text encodes as empty; repeated rows get equal ids; texts of any length go the same way. Decoding inverts encoding: bytes are gathered into UTF-8 (ill-formed
 ones become U+FFFD), meta symbols become spaces and the dummy prefix goes; it equals the text
 whenever the normaliser is lossless and the text holds no meta symbol itself.
 """
@@ -28,6 +29,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,31 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
             raise ValueError("not a SentencePiece model")
 
 
+def _character_map(blob: bytes) -> dict[str, str]:
+    """The rewrites of a compiled character map: a trie (32-bit units, its size before it) whose leaves point to NUL-ended strings."""
+    size = struct.unpack_from("<I", blob)[0]
+    units = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64)
+    texts = blob[4 + size :]
+    label, every = units & 0x800000FF, np.arange(1, 256)
+    offset = (units >> 10) << ((units & 0x200) >> 6)
+    out, open_ = {}, [(b"", int(offset[0]))]
+    while open_:
+        key, at = open_.pop()
+        near = at ^ every
+        inside = near < len(units)
+        for c in every[inside][label[near[inside]] == every[inside]].tolist():
+            unit = at ^ c
+            below = unit ^ int(offset[unit])
+            if units[unit] >> 8 & 1:
+                v = int(units[below]) & 0x7FFFFFFF
+                try:
+                    out[(key + bytes([c])).decode()] = texts[v : texts.index(0, v)].decode()
+                except UnicodeDecodeError:
+                    pass  # inside a character
+            open_.append((key + bytes([c]), below))
+    return out
+
+
 class Machine:
     """The compiled transducer of one model."""
 
@@ -96,6 +123,7 @@ class Machine:
         self.score: list[float] = []
         self.kind: list[int] = []
         self.dummy, self.squeeze, self.escape, self.bpe = True, True, True, False
+        norm: dict = {}
         for field, value in _fields(model):
             if field == 1:
                 p = dict(_fields(value))
@@ -108,10 +136,14 @@ class Machine:
                 if trainer.get(3, 1) not in (1, 2) or trainer.get(24, 0):
                     raise ValueError("only unigram and byte-pair models with leading meta symbols are supported")
             elif field == 3:
-                norm = dict(_fields(value))
-                if norm.get(2):
-                    raise ValueError("a compiled character map is not supported; give an identity-normalised model")
-                self.dummy, self.squeeze, self.escape = bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1))
+                norm |= dict(_fields(value))
+        self.dummy, self.squeeze, self.escape = (bool(norm.get(k, 1)) for k in (3, 4, 5))
+        self.rewrites = _character_map(norm[2]) if norm.get(2) else {}
+        #: The longest match that begins with a character.
+        self.reach: dict[str, int] = {}
+        for k in self.rewrites:
+            self.reach[k[0]] = max(self.reach.get(k[0], 0), len(k))
+        self._touched = re.compile("[" + "".join(map(re.escape, sorted(self.reach))) + "]") if self.reach else None
         if not self.escape or USER in self.kind:
             raise ValueError("models without escaped spaces or with user-defined pieces are not supported")
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kind)) if k == NORMAL}
@@ -135,6 +167,7 @@ class Machine:
         self.unknown_weight = 10.0 - worst
         self._apart: dict[int, bool] = {}
         self._last: dict[str, int] = {}
+        self._bytes: dict[int, tuple[int, ...]] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
         after = {b for p in self.lexicon for a, b in zip(p, p[1:]) if a.isalpha()}
@@ -144,7 +177,24 @@ class Machine:
 
     # --- the three machines -------------------------------------------------------------
 
+    def rewritten(self, text: str) -> str:
+        """The text through the arcs of the character map."""
+        if self._touched is None or not self._touched.search(text):
+            return text
+        out, i, n = [], 0, len(text)
+        while i < n:
+            for size in range(self.reach.get(text[i], 0), 0, -1):
+                if (to := self.rewrites.get(text[i : i + size])) is not None and i + size <= n:
+                    out.append(to)
+                    i += size
+                    break
+            else:
+                out.append(text[i])
+                i += 1
+        return "".join(out)
+
     def normalise(self, text: str) -> str:
+        text = self.rewritten(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
@@ -256,21 +306,23 @@ class Machine:
 
     def path(self, chunk: str) -> tuple[int, ...]:
         """Ids on the shortest path of ``chunk`` through the composed machine."""
-        if self.bpe and len(chunk) <= 1024:
+        if self.bpe:
             steps = self._states(chunk)
-        else:  # prefixes of a long chunk are not worth keeping
-            steps = [self.lexicon[x] if x in self.lexicon else len(self.pieces) + ord(x) for x in (self._merged(chunk) if self.bpe else self._cheapest(chunk))]
+        else:
+            steps = [self.lexicon[x] if x in self.lexicon else len(self.pieces) + ord(x) for x in self._cheapest(chunk)]
         if max(steps, default=0) < len(self.pieces):
             return tuple(steps)
-        out: list[int] = []
-        for k in steps:
-            if k < len(self.pieces):
-                out.append(k)
-            elif self.byte:
-                out.extend(self.byte[x] for x in chr(k - len(self.pieces)).encode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.unknown)
-        return tuple(out)
+        return tuple(i for k in steps for i in self.emitted(k))
+
+    def emitted(self, arc: int) -> tuple[int, ...]:
+        """The ids on an arc: a piece's own, or the byte pieces of a character outside the vocabulary."""
+        if arc < len(self.pieces):
+            return (arc,)
+        got = self._bytes.get(arc)
+        if got is None:
+            got = tuple(self.byte[x] for x in chr(arc - len(self.pieces)).encode("utf-8", "surrogatepass")) if self.byte else (self.unknown,)
+            self._bytes[arc] = got
+        return got
 
     def encode(self, text: str | None) -> list[int]:
         known, out, meet = self._known, [], self._meet
@@ -361,7 +413,7 @@ def encode_documents(df: DataFrame, model: bytes, text: str = "text", ids: str =
                     cols.append(pa.array([m.decode(r) == (t or "") for r, t in zip(rows, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__sp_text"))
     return own.mapInArrow(run, schema)
 
 

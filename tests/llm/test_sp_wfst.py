@@ -44,3 +44,23 @@ def test_documents(spark, both):
     assert all(r.decoded == (r.text or "") for r in back.collect())
     assert encode_documents(df, read_model(), ids="OK").columns == ["doc_id", "text", "OK"]
     assert encode_documents(df.limit(0), read_model()).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
+def test_compiled_character_maps(rule):
+    model = read_model() + sp.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    theirs = sp.SentencePieceProcessor(model_proto=model)
+    ours = Machine(model)
+    rnd = random.Random(11)
+    parts = [" ", "  ", "▁", "a", "Th", "ﬁ", "é", "e\u0301", "Ａ", "漢", "\n", "\t", "①", "½", "\u200b", "\u3000", "ß", "İ", "\x00", "한", "ᄒ", "ᅡ", "ᆫ", "𝔘", "™", "x"]
+    for _ in range(2000):
+        s = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20)))
+        assert ours.encode(s) == theirs.encode(s), (s, ours.normalise(s))
+
+
+def test_runs_of_any_length_go_through_the_machine(both, monkeypatch):
+    ours, theirs = both
+    monkeypatch.setattr(ours, "_merged", (lambda f: lambda s: f(s) if len(s) < 64 else 1 / 0)(ours._merged))
+    rnd = random.Random(3)
+    for s in ("x" * 5000, "".join(rnd.choice("abcdeé漢") for _ in range(4000)), "=" * 3000, "𓀀" * 1500):
+        assert ours.encode(s) == theirs.encode(s)
