@@ -5,15 +5,20 @@ fine). Every text run has a *tag path*, the names and classes from the root to i
 the text length and the punctuation are summed and divided by the number of runs; the two ratios are
 fused by their geometric mean, smoothed along the page with a Gaussian window, and runs above a share of
 the scores' spread are *content*. The smallest element that holds nearly all content mass is the
-main element (an ``article`` or ``main`` around it is preferred), and its text is the result.
+main element (an ``article`` or ``main`` around it is preferred; of several that hold it the innermost).
 
-Never part of it: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts
-and reader comments, told by element, role, or words of class and id. Inside a main element that is no
-``article`` or ``main``, runs of mostly links that are not content themselves are dropped too.
+The scores also choose among the blocks of the main element. A block of prose markup (paragraphs, headings, list items, cells
+and the like) stays, as short ones among long ones are text too; any other block stays if one of its runs lies on a path whose own
+ratio, unsmoothed, reaches the threshold and ``FLOOR`` of the mean score. Blocks of mostly links that are not content go where the main element is no ``article`` or ``main``.
+
+Never part of the result: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts
+and reader comments, told by element, role, or words of class and id. A name tells only where all its words are such words or neutral
+ones (``ad-slot``, ``site-footer``): ``social-history`` or ``notice-period`` are names of content.
 
 Character references are decoded; white space inside a block (``br`` included) becomes one space; blocks are
 trimmed and joined by one newline in page order; empty blocks vanish. Nothing is capped. Null or
-empty html gives an empty text; a page of plain text is one block; repeated rows get equal results.
+empty html gives an empty text; a page of plain text is one block; repeated rows get equal results; very long pages take time in
+proportion. A column named as the result is replaced, others pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,16 +51,22 @@ BLOCK = frozenset(
 #: A new element of the key ends an open one of the values, up to an element of SCOPE.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "thead", "tbody"}, "body": {"head"}}
 SCOPE = frozenset("html body article section main div table td th ul ol dl blockquote aside nav header footer form figure details".split())
-DROPPED = frozenset("nav aside footer form button select textarea script style noscript template iframe object svg math dialog menu head title canvas audio video datalist search noembed noframes applet map".split())
+DROPPED = frozenset("nav aside footer form button select textarea script style noscript template iframe object svg dialog menu head title canvas audio video datalist search noembed noframes applet map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist tooltip".split())
 HINTS = frozenset(
-    "nav navbar navigation menu submenu sidebar aside footer ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login signin share sharing sharebar social related recommended recommendations recirculation breadcrumb breadcrumbs pagination pager comment comments commentlist respond disqus reply replies discussion widget widgets toolbar masthead copyright tagcloud toc outbrain taboola paywall skiplink".split()
+    "nav navbar navigation menu submenu sidebar aside footer ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login signin share sharing sharebar social related recommended recommendations recirculation breadcrumb breadcrumbs pagination pager comment comments commentlist respond disqus reply replies widget widgets toolbar masthead copyright tagcloud toc outbrain taboola paywall skiplink".split()
 )
 #: These words take the meaning from the hint after them (``has-sidebar``).
 TURNED = frozenset("has with no without is not hide show".split())
+#: Words that say nothing by themselves; a hint beside any other word is part of a name of content.
+NEUTRAL = frozenset(
+    "site page main top bottom left right upper lower center middle box block bar strip container wrapper wrap inner outer content body area zone panel module unit slot space holder placeholder list item items link links button buttons btn icon icons image img media section group row col column grid post posts article articles story stories entry news topics videos products reading reads count author meta thread form field input box text title label message policy line first last small large wide narrow full width mini sub new inline sticky fixed floating mobile desktop global primary secondary tertiary user this these our your us the and of for by in on to js wp google dfp display leaderboard skyscraper rectangle mpu tool tools head header".split()
+)
+#: Elements whose text is prose however short it is.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th pre blockquote figcaption caption summary address hgroup math".split())
 HEADS = frozenset(("header", "masthead", "banner"))
 MAINS = frozenset(("article", "main"))
-SPREAD, SIGMA, MASS, LINKS = 0.3, 1.0, 0.9, 0.5
+SPREAD, SIGMA, MASS, LINKS, FLOOR = 0.3, 1.0, 0.9, 0.5, 0.25
 
 
 class _Element:
@@ -69,9 +80,9 @@ class _Element:
 def _hinted(value: str, inside: bool) -> bool:
     for token in value.split():
         words = [w.lower() for w in _PIECES.findall(token)]
-        for k, w in enumerate(words):
-            if (w in HINTS or w == "header" and not inside) and not (k and words[k - 1] in TURNED):
-                return True
+        hint = any((w in HINTS or w == "header" and not inside) and not (k and words[k - 1] in TURNED) for k, w in enumerate(words))
+        if hint and all(w in HINTS or w in NEUTRAL or w in TURNED or w in HEADS or len(w) < 3 or w.isdigit() for w in words):
+            return True
     return False
 
 
@@ -166,33 +177,50 @@ def _read(page: str) -> tuple[list[_Element], list[tuple[_Element, int, str]]]:
     return elements, runs
 
 
-def _scores(runs: list[tuple[_Element, int, str]], texts: list[str]) -> list[float]:
-    """The fused, smoothed tag-path ratio of each run."""
+def _ratios(runs: list[tuple[_Element, int, str]], texts: list[str]) -> dict[int, float]:
+    """The fused ratio of each tag path."""
     length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
     for (e, _, _), t in zip(runs, texts):
         if t and not t.isspace():
             length[e.path] += len(t)
             marks[e.path] += len(_MARKS.findall(t))
             number[e.path] += 1
-    fused = {p: math.sqrt((length[p] / n) * (marks[p] / n + 0.1)) for p, n in number.items()}
+    return {p: math.sqrt((length[p] / n) * (marks[p] / n + 0.1)) for p, n in number.items()}
+
+
+def _scores(runs: list[tuple[_Element, int, str]], texts: list[str], fused: dict[int, float]) -> list[float]:
+    """The smoothed ratio of each run."""
     raw = [fused.get(e.path, 0.0) if t and not t.isspace() else 0.0 for (e, _, _), t in zip(runs, texts)]
     kernel = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-2, 3)]
     scale, n = sum(kernel), len(raw)
     return [sum(w * raw[i + k - 2] for k, w in enumerate(kernel) if 0 <= i + k - 2 < n) / scale if raw[i] else 0.0 for i in range(n)]
 
 
+def _is_prose(e: _Element, main: _Element) -> bool:
+    """Whether prose markup is around a run, inside the main element."""
+    while e is not main and e.parent is not None:
+        if e.name in PROSE:
+            return True
+        if e.name in BLOCK:
+            return False
+        e = e.parent
+    return False
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
     elements, runs = _read(page)
     texts = [unescape(r[2]) for r in runs]
-    score = _scores(runs, texts)
+    fused = _ratios(runs, texts)
+    score = _scores(runs, texts, fused)
     told = [s for s in score if s]
     if not told:
         return ""
     mean = sum(told) / len(told)
     spread = math.sqrt(sum((s - mean) ** 2 for s in told) / len(told))
-    content = [s > 0 and s >= SPREAD * spread for s in score]
+    least = SPREAD * spread
+    content = [s > 0 and s >= least for s in score]
     total = 0.0
     for (e, _, _), t, s, c in zip(runs, texts, score, content):
         if c:
@@ -212,6 +240,7 @@ def extract(page: str | None) -> str:
     blocks: dict[int, list[str]] = {}
     links: dict[int, list[int]] = {}
     chosen: dict[int, bool] = {}
+    told_by: dict[int, bool] = {}
     for (e, b, _), t, c in zip(runs, texts, content):
         if inside[id(e)] and not e.drop:
             blocks.setdefault(b, []).append(t)
@@ -219,9 +248,11 @@ def extract(page: str | None) -> str:
             n[0] += len(t.strip()) if e.link else 0
             n[1] += len(t.strip())
             chosen[b] = chosen.get(b, False) or c and not e.link
+            if t and not t.isspace():
+                told_by[b] = told_by.get(b, False) or fused[e.path] >= max(least, FLOOR * mean) or _is_prose(e, main)
     out = []
     for b, parts in blocks.items():
-        if not main.main and not chosen[b] and links[b][0] > LINKS * links[b][1]:
+        if not told_by.get(b, False) or not main.main and not chosen[b] and links[b][0] > LINKS * links[b][1]:
             continue
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
