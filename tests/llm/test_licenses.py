@@ -4,25 +4,59 @@ import re
 from evigraph.llm import licenses as lic
 
 
+def judged(m, line):
+    p = m.probabilities(line)
+    k = int(p.argmax())
+    if lic.FAMILIES[k] == lic.UNKNOWN or p[k] < lic.SURE:
+        return None
+    mine = {g for g in lic.grams(line) if " " in g}
+    near = any(len(mine & t) / max(1, min(len(mine), len(t))) >= lic.ALIKE for t in ({g for g in lic.grams(x) if " " in g} for x in lic.TEMPLATES[lic.FAMILIES[k]]))
+    return lic.FAMILIES[k], near
+
+
 def brute(text):
     m = lic.fit()
-    out = []
+    runs, out = [], []
     for i, line in enumerate((text or "").split("\n")):
-        p = m.probabilities(line)
-        k = int(p.argmax())
-        if lic.FAMILIES[k] == lic.UNKNOWN or p[k] < lic.SURE:
-            continue
-        mine = {g for g in lic.grams(line) if " " in g}
-        near = any(len(mine & t) / max(1, min(len(mine), len(t))) >= lic.ALIKE for t in ({g for g in lic.grams(x) if " " in g} for x in lic.TEMPLATES[lic.FAMILIES[k]]))
-        out.append((i, lic.FAMILIES[k], near))
+        if any(g in lic.grams(line) for g in m.vocabulary):
+            if runs and runs[-1][-1][0] == i - 1 and i % lic.LONGEST:
+                runs[-1].append((i, line))
+            else:
+                runs.append([(i, line)])
+    for run in runs:
+        alone = [(i, 1, *v) for i, x in run if (v := judged(m, x))]
+        one = judged(m, " ".join(x for _, x in run))
+        out += [(run[0][0], len(run), *one)] if one and len({f for _, _, f, c in alone if c}) < 2 else alone
     return out
 
 
-def test_held_out_accuracy():
-    m = lic.fit()
-    rows = lic.examples(seed=77)
-    right = sum(lic.FAMILIES[int(m.probabilities(t).argmax())] == f for t, f in rows)
-    assert right >= 0.95 * len(rows)
+def test_accuracy_on_templates_that_the_fit_has_not_seen():
+    back = lic.held_back()
+    m = lic.Model(templates={f: [t for t in ts if t != back.get(f)] for f, ts in lic.TEMPLATES.items()}, calibrated=False)
+    rows = lic.examples(77, 20, {f: [t] for f, t in back.items()})
+    told = [(f, lic.FAMILIES[int(m.probabilities(t).argmax())]) for t, f in rows]
+    licence = [(f, g) for f, g in told if f != lic.UNKNOWN]
+    assert sum(f == g for f, g in licence) >= 0.6 * len(licence)
+    assert all(g == f for f, g in told if f == lic.UNKNOWN)
+    # wordings beside the templates; two of them (apache, bsd) led to a template each
+    wordings = {"mit": "This code may be used under the MIT License.", "apache": "Available under the Apache License 2.0, see the file LICENSE.", "gpl": "Distributed under the terms of the GNU General Public License (GPL), version 2.", "bsd": "You may use it under the BSD license.", "mpl": "Covered by the Mozilla Public License 2.0.", "isc": "Published under the ISC license.", "proprietary": "Copyright 2019 Acme Corp. All rights reserved."}
+    full = lic.fit()
+    assert sum(lic.FAMILIES[int(full.probabilities(t).argmax())] == f for f, t in wordings.items()) >= 6
+
+
+def test_hard_wrapped_notices_are_one_paragraph(spark):
+    import textwrap
+
+    rows, want = [], []
+    for k, (family, texts) in enumerate(sorted(lic.TEMPLATES.items())):
+        long = max(texts, key=len)
+        rows.append((k, "Some words about the weather.\n\n" + "\n".join(textwrap.wrap(long.capitalize(), 60)) + "\n\nMore words of no meaning."))
+        want.append(family)
+    got = {r.doc_id: r.licenses for r in lic.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = sum({h.family for h in got[k] if h.confirmed} == {f} for k, f in enumerate(want))
+    assert right >= len(want) - 1, [(f, [(h.family, h.lines, h.confirmed) for h in got[k]]) for k, f in enumerate(want)]
+    two = lic.scan_documents(spark.createDataFrame([(1, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")], "doc_id long, text string")).first().licenses
+    assert [(h.line, h.family) for h in two if h.confirmed] == [(0, "mit"), (1, "apache")]
 
 
 def test_plain_lines_are_unknown():
@@ -39,7 +73,7 @@ def test_same_as_brute_force(spark, tmp_path):
     texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 6))) for _ in range(80)]
     texts += [None, "", "x " * 50000, "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3."]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, line int").repartition(3)
-    got = {r.doc_id: [(h.line, h.family, h.confirmed) for h in r.licenses] for r in lic.scan_documents(df).collect()}
+    got = {r.doc_id: [(h.line, h.lines, h.family, h.confirmed) for h in r.licenses] for r in lic.scan_documents(df).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
     df.write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in lic.query(spark, str(tmp_path)).collect()}
