@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -13,32 +13,38 @@ def _mark(e: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every neighbour above a node tied to the least of its neighbours and itself."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("n")).withColumn("m", F.least("u", "n")).drop("n")
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m")), "least")
+    # the least ones are a written table, so a hub's rows can be split among tasks when they meet it
+    return materialise(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges"), least
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     rest = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(least.select("u", F.col("m").alias("v")))
+    return materialise(rest.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges"), least
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges`` (u, v) of an ordered type to (u, v) with ``v`` the least node of u's component, for every u but the least.
 
     Each round is two aggregations and joins over the edges; a component's edges shrink to a star in about
-    log(size) rounds. The edge table is written each round, so lineage stays short and nothing is collected.
+    log(size) rounds. The edge table is written each round, so lineage stays short and nothing is collected; tables that nothing
+    reads any more go.
     """
     e = materialise(edges.filter("u != v").distinct(), "edges")
     before = _mark(e)
     for _ in range(most_rounds):
         if before[0] == 0:
             return e
-        e = materialise(_small(_large(e).filter("u != v").distinct()).filter("u != v").distinct(), "edges")
-        now = _mark(e)
+        large, one = _large(e)
+        after, two = _small(large)
+        for gone in (e, large, one, two):
+            discard(gone)
+        e, now = after, _mark(after)
         if now == before:
             return e
         before = now

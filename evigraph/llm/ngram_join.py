@@ -6,18 +6,21 @@ as one; no words: the empty set, linked with nothing). Two documents link when `
 different sets is found.
 
 1. *Classes.* Equal sets are one class, found by a signature of the set, so copies meet only once.
-2. *Order.* Shingles are ordered by how common they are, then by hash: one pass counts the shingles in
+2. *Order.* Shingles are ordered by how common they are, then by hash: tasks count the shingles in their documents'
    hash-order prefixes, and the common ones (at most ``MOST_COMMON``, a bounded broadcast) rank last by
    magnitude. Any order is correct; a good one keeps prefixes rare.
 3. *Adaptive prefixes.* Sets that link share at least ``l`` shingles within their ``l``-prefixes, the first
    ``n - ceil(t n) + l`` shingles. Each document picks the ``l`` of least estimated cost: probes plus
    verification of the candidates that ``l`` shared shingles still allow. Every document is indexed to the largest
    ``l`` with the level at which a shingle enters; the larger set of a pair probes with its own ``l``.
-4. *Candidates.* Index rows are dealt by shingle. Lists of at most ``LIST`` sets give pairs, and pairs
-   with ``l`` shared shingles are verified exactly on the sets. Longer lists give no pairs: their sets go in blocks of
-   about ``BLOCK`` to tasks that intersect whole blocks and emit stars of links, so a large group of near copies makes as
-   many rows as it has members. A pair that shares a long-list shingle is verified there whatever its ``l``.
-5. *Components* of the links by alternating stars; a class takes the least doc_id that it reaches.
+4. *Candidates.* Shingles that more than ``LIST`` sets of one task share are known to be hot before anything is dealt, and their
+   rows are never brought together in a task. The other index rows are dealt by shingle. Lists of at most ``LIST`` sets give pairs, and pairs
+   with ``l`` shared shingles are verified exactly on the sets. Longer lists and hot shingles give no pairs but members, whatever their ``l``.
+5. *Long lists.* A task intersects two blocks of sets (at most about ``BLOCK`` sets and ``SHINGLES`` shingles each) and emits stars of links.
+   First every set goes to the list of its first long shingle, where each block meets the first block: near copies, however many, become one
+   component in linear work. Then, in each list that still holds several components, blocks meet unless both lie in one component: no link
+   between components is lost, and links inside one change nothing. Only a long list of sets that are *not* alike costs work that grows with the square of its blocks.
+6. *Components* of the links by alternating stars; a class takes the least doc_id that it reaches.
 
 Sets are compared by 64-bit shingle hashes, classes by 128-bit signatures. Null text is an empty set; a null doc_id is
 never the least; repeated rows are copies. An empty table gives no rows.
@@ -30,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 from .components import components
 from .textarrays import U, Block, blocks, mix, rolling
 
 WORDS, NUM, DEN = 4, 85, 100
 #: Largest ``l``; list length from which a shingle counts as common; common shingles broadcast at most.
 LEVELS, COMMON, MOST_COMMON = 4, 4, 1_000_000
-#: Longest list that gives pairs, and sets in a block of a longer one.
-LIST, BLOCK = 48, 1024
+#: Longest list that gives pairs; sets and shingles in a block of a longer one; index rows that a task looks at together for hot shingles.
+LIST, BLOCK, SHINGLES, LOOK = 48, 1024, 1 << 20, 1 << 21
 #: Rows that a hinted broadcast may have; above, the join shuffles.
 SMALL = 500_000
 _S1, _S2 = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
@@ -125,20 +128,27 @@ class _Seen:
 
 
 def _prefix_counts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(token, count) of shingles in hash-order prefixes; copies within a task count once."""
+    """(token, count) of shingles in hash-order prefixes, from those that a task meets twice within about ``LOOK`` of them; copies within a task count once."""
 
     def run(batches):
-        seen = _Seen()
+        def told():
+            token, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], ["token", "c"])
+
+        seen, held, n = _Seen(), [], 0
         for b in batches:
             for block in blocks(b.column(0)):
-                out = []
                 for s in sets(block, k):
                     if len(s) and can_link(len(s), num, den) and not seen.again(signature(s)):
-                        out.append(prefix(s, num, den, None)[0])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["token"])
+                        held.append(prefix(s, num, den, None)[0])
+                        n += len(held[-1])
+                if n > LOOK:
+                    yield told()
+                    held, n = [], 0
+        if held:
+            yield told()
 
-    return docs.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c"))
+    return docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def _common(docs: DataFrame, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +221,29 @@ def _pairs_of(a: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     return out
 
 
+def _hot(index: DataFrame) -> DataFrame:
+    """(token) of the shingles that more than ``LIST`` rows have among about ``LOOK`` rows of a task."""
+
+    def run(batches):
+        def told():
+            token, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token[c > LIST])], ["token"])
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b.column(0).to_numpy(zero_copy_only=False))
+            n += len(held[-1])
+            if n > LOOK:
+                yield told()
+                held, n = [], 0
+        if held:
+            yield told()
+
+    return index.select("token").mapInArrow(run, "token long").distinct()
+
+
 def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
-    """Kind 0: pairs of short lists, once for each shared shingle. Kind 1: members of long lists."""
+    """Kind 0: pairs of short lists, once for each shared shingle. Kind 1: members of long lists, the size of the set in y1."""
 
     def emit(parts):
         if parts:
@@ -224,7 +255,7 @@ def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
 
     def long(a):
         z = np.zeros(len(a), np.int64)
-        return np.column_stack([z + 1, a[:, 0], a[:, 1], a[:, 2], z, z, z])
+        return np.column_stack([z + 1, a[:, 0], a[:, 1], a[:, 2], a[:, 3] >> 8, z, z])
 
     def work(a, num=num, den=den):
         """Whole runs."""
@@ -265,7 +296,7 @@ def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
 def _sets_of(docs: DataFrame, need: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(s1, s2, tokens) of the classes in ``need``."""
     ids = need.join(classes, ["s1", "s2"]).select("rep").filter("rep is not null").distinct()
-    ids = materialise(ids, "ids")
+    ids = materialise(ids, "ids")  # small, and read by what is written below
     few = ids.count() <= SMALL
     own = docs.join((F.broadcast(ids) if few else ids).withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
@@ -283,7 +314,9 @@ def _sets_of(docs: DataFrame, need: DataFrame, classes: DataFrame, k: int) -> Da
                     )
 
     found = own.select("text").mapInArrow(run, "s1 long, s2 long, tokens array<long>")
-    return materialise(found.join(need, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.first("tokens").alias("tokens")), "sets")
+    out = materialise(found.join(need, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.first("tokens").alias("tokens")), "sets")
+    discard(ids)
+    return out
 
 
 def link_block(s1, s2, tokens: list[np.ndarray], num: int, den: int) -> list[tuple[int, int, int, int]]:
@@ -320,12 +353,8 @@ def link_block(s1, s2, tokens: list[np.ndarray], num: int, den: int) -> list[tup
     return [(int(s1[i]), int(s2[i]), int(s1[r]), int(s2[r])) for i, r in enumerate(label) if i != r]
 
 
-def _long_links(found: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
-    members = found.filter("kind = 1").select("token", F.col("x1").alias("s1"), F.col("x2").alias("s2")).distinct()
-    count = members.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    dealt = members.join(count, "token").withColumn("b", F.pmod(F.xxhash64("s1", "s2", "token"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("token", "s1", "s2", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")).join(sets_, ["s1", "s2"])
+def _met(dealt: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among the sets of each (token, lo, hi)."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -337,7 +366,53 @@ def _long_links(found: DataFrame, sets_: DataFrame, num: int, den: int) -> DataF
         cols = list(zip(*rows)) if rows else [(), (), (), ()]
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("x1", "x2", "y1", "y2"), cols)})
 
-    return dealt.groupBy("token", "lo", "hi").applyInArrow(run, "x1 long, x2 long, y1 long, y2 long")
+    own = dealt.select("token", "lo", "hi", "s1", "s2").join(sets_, ["s1", "s2"])
+    return own.groupBy("token", "lo", "hi").applyInArrow(run, "x1 long, x2 long, y1 long, y2 long")
+
+
+def _blocks(count, shingles):
+    """Blocks that so many sets with so many shingles make."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / SHINGLES)).cast("int")
+
+
+def _first_links(members: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
+    """Links found in the list of each set's first long shingle, where every block meets the first one."""
+    first = members.groupBy("s1", "s2", "n").agg(F.min(F.struct(F.xxhash64("token").alias("h"), "token")).alias("f")).select("f.token", "s1", "s2", "n")
+    first = materialise(first, "first")
+    size = materialise(first.groupBy("token").agg(F.count("*").alias("c"), _blocks(F.count("*"), F.sum("n")).alias("nb")).filter("c > 1").drop("c"), "first-sizes")
+    dealt = first.join(size, "token").withColumn("b", F.pmod(F.xxhash64("s1", "s2"), F.col("nb")).cast("int"))
+    last = F.col("nb") - 1
+    dealt = dealt.withColumn("hi", F.explode(F.when(F.col("b") == 0, F.sequence(F.least(F.lit(1), last), last)).otherwise(F.array("b")))).withColumn("lo", F.lit(0))
+    out = materialise(_met(dealt, sets_, num, den), "first-links")
+    discard(first), discard(size)
+    return out
+
+
+def _rest_links(members: DataFrame, stars: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components of the lists that hold several."""
+    own = stars.select(F.col("u.a").alias("s1"), F.col("u.b").alias("s2"), F.col("v.a").alias("v1"), F.col("v.b").alias("v2"))
+    placed = materialise(members.join(own, ["s1", "s2"], "left").select("token", "s1", "s2", "n", F.coalesce("v1", "s1").alias("c1"), F.coalesce("v2", "s2").alias("c2")), "placed")
+    size = placed.groupBy("token", "c1", "c2").agg(_blocks(F.count("*"), F.sum("n")).alias("nb"), F.count("*").alias("c"), F.sum("n").alias("w"))
+    size = materialise(size.withColumn("large", F.col("nb") > 1), "placed-sizes")
+    rest = lambda x: F.sum(F.when(F.col("large"), 0).otherwise(F.col(x)))
+    block = lambda large, c1, c2, i: F.struct(large.alias("large"), c1.alias("c1"), c2.alias("c2"), i.cast("int").alias("i"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own_blocks = F.when(F.col("large"), F.transform(numbers(F.col("nb")), lambda i: block(F.lit(True), F.col("c1"), F.col("c2"), i)))
+    # a block is a part of one large component, or several small ones: a list has about as many as its sets fill
+    several = size.groupBy("token").agg(F.count("*").alias("k"), _blocks(rest("c"), rest("w")).alias("ns"), F.flatten(F.collect_list(own_blocks)).alias("lb")).filter("k > 1")
+    zero = F.lit(0).cast("long")
+    several = several.select("token", "ns", F.concat("lb", F.transform(numbers(F.col("ns")), lambda i: block(F.lit(False), zero, zero, i))).alias("all"))
+    several = materialise(several, "several")
+    out = None
+    if not several.isEmpty():
+        dealt = placed.join(several, "token").join(size.select("token", "c1", "c2", "nb", "large"), ["token", "c1", "c2"])
+        mine = F.when(F.col("large"), block(F.lit(True), F.col("c1"), F.col("c2"), F.pmod(F.xxhash64("s1", "s2"), F.col("nb")))).otherwise(block(F.lit(False), zero, zero, F.pmod(F.xxhash64("c1", "c2"), F.greatest("ns", F.lit(1)))))
+        dealt = dealt.withColumn("b", mine).withColumn("o", F.explode("all"))
+        dealt = dealt.filter(~(F.col("b.large") & F.col("o.large") & (F.col("b.c1") == F.col("o.c1")) & (F.col("b.c2") == F.col("o.c2"))))
+        out = materialise(_met(dealt.withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o")), sets_, num, den), "rest-links")
+    for gone in (placed, size, several):
+        discard(gone)
+    return out
 
 
 def _short_links(pairs: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
@@ -352,24 +427,33 @@ def link_documents(df: DataFrame, words: int = WORDS, num: int = NUM, den: int =
     docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("tk"))
     digests = materialise(_digests(docs, words), "digests")
     classes = materialise(digests.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    common = _common(docs, words, num, den)
-    found = materialise(_lists(_index(docs, words, num, den, common), num, den), "lists")
+    index = materialise(_index(docs, words, num, den, _common(docs, words, num, den)), "index")
+    hot = materialise(_hot(index), "hot")
+    listed = F.broadcast(hot) if hot.count() <= SMALL else hot
+    found = materialise(_lists(index.join(listed, "token", "left_anti"), num, den), "lists")
+    many = index.join(listed, "token").select("token", "s1", "s2", F.shiftright("meta", 8).alias("n"))
+    many = many.unionByName(found.filter("kind = 1").select("token", F.col("x1").alias("s1"), F.col("x2").alias("s2"), F.col("y1").alias("n")))
+    members = materialise(many.distinct(), "members")
     pairs = found.filter("kind = 0").groupBy("x1", "x2", "y1", "y2").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").drop("c", "l")
     pairs = materialise(pairs, "pairs")
-    need = (
-        pairs.select(F.col("x1").alias("s1"), F.col("x2").alias("s2"))
-        .unionByName(pairs.select(F.col("y1").alias("s1"), F.col("y2").alias("s2")))
-        .unionByName(found.filter("kind = 1").select(F.col("x1").alias("s1"), F.col("x2").alias("s2")))
-        .distinct()
-    )
-    need = materialise(need, "need")
+    need = pairs.select(F.col("x1").alias("s1"), F.col("x2").alias("s2")).unionByName(pairs.select(F.col("y1").alias("s1"), F.col("y2").alias("s2"))).unionByName(members.select("s1", "s2"))
+    need = materialise(need.distinct(), "need")
+    for gone in (index, hot, found):
+        discard(gone)
     sets_ = _sets_of(docs, need, classes, words)
-    links = _short_links(pairs, sets_, num, den).unionByName(_long_links(found, sets_, num, den))
     node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    stars = components(links.select(node("x1", "x2").alias("u"), node("y1", "y2").alias("v")))
+    tied = lambda links: links.select(node("x1", "x2").alias("u"), node("y1", "y2").alias("v"))
+    first = _first_links(members, sets_, num, den)
+    stars = components(tied(_short_links(pairs, sets_, num, den)).unionByName(tied(first)))
+    rest = _rest_links(members, stars, sets_, num, den)
+    if rest is not None:
+        before, stars = stars, components(stars.unionByName(tied(rest)))
+        discard(before), discard(rest)
     roots = classes.withColumn("u", node("s1", "s2")).join(stars, "u", "left").withColumn("root", F.coalesce("v", "u"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component"))
     grouped = materialise(roots.join(least, "root").select("s1", "s2", "component"), "grouped")
+    for gone in (classes, members, pairs, need, sets_, first, stars):
+        discard(gone)
     full, none = digests.filter("n > 0"), digests.filter("n = 0")
     return (
         full.join(grouped, ["s1", "s2"], "left")
