@@ -6,10 +6,13 @@ import json
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text
+
 
 def walk(value, path: str = "$"):
     """(path, leaf) of a JSON value in order; dotted for fields, indexed for items."""
@@ -74,26 +77,79 @@ def tag_json(text: str | None) -> str | None:
     return None if text is None else json.dumps(tagged(json.loads(text)), sort_keys=True, separators=(",", ":"))
 
 
-_PATH = re.compile(r"(?:([A-Za-z]*Class)?')?(/[A-Za-z_][A-Za-z0-9_]*(?:/[A-Za-z0-9_.\-:]+)+)")
-_TAG = re.compile(r'(?:TagName|GameplayTag)\s*=\s*"([A-Za-z0-9_.]+)"')
+_PATH, _TAG = re.compile(text.OBJECT_PATH), re.compile(text.TAG)
+
+
+def string_references(value: str) -> set[tuple[str, str]]:
+    """(kind, target) of the references in a string, as ``text.references`` finds them."""
+    found = set()
+    for wrapper, path in _PATH.findall(value):
+        path = path.strip().strip("\"'").replace("\\", "/")
+        found.add(("class" if path.startswith("/Script/") or wrapper.endswith("Class") else "asset", path))
+    return found | {("gameplay_tag", t.strip()) for t in _TAG.findall(value) if t.strip()}
+
+
+def _below(path: str, field: str) -> str:
+    return f"{path}.{field}" if path else field
+
+
+def _strings(value, path: str = ""):
+    """(path, text) of the strings in a nested value."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from _strings(v, _below(path, str(k)))
+    elif isinstance(value, (list, tuple)):
+        for i, v in enumerate(value):
+            yield from _strings(v, f"{path}[{i}]")
+    elif isinstance(value, str):
+        yield path, value
 
 
 def value_references(value) -> list[tuple[str, str, str]]:
     """Sorted distinct (kind, target, field) of the references inside a nested value."""
-    found = set()
-    for path, leaf in walk(value):
-        if not isinstance(leaf, str):
-            continue
-        field = path.removeprefix("$").removeprefix(".")
-        for wrapper, target in _PATH.findall(leaf):
-            kind = "class" if wrapper or target.startswith("/Script/") else "object" if ":" in target else "asset"
-            found.add((kind, target, field))
-        for tag in _TAG.findall(leaf):
-            found.add(("gameplay_tag", tag, field))
+    return sorted({(*r, path) for path, leaf in _strings(value) for r in string_references(leaf)})
+
+
+def typed_references(value) -> list[tuple[str, str, str]]:
+    """References of a tagged value: those of its strings, those that its kinds tell, and objects inside an asset instead of the asset."""
+    found = set(value_references(value))
+
+    def visit(item, path: str) -> None:
+        if isinstance(item, dict):
+            kind = item.get("kind")
+            if kind == "object" and ":" in str(item.get("path") or ""):
+                at = _below(path, "path")
+                found.discard(("asset", str(item["path"]), at))
+                found.add(("object", str(item["path"]), at))
+            elif kind == "gameplay_tag" and item.get("tag"):
+                found.add(("gameplay_tag", str(item["tag"]), path))
+            elif kind == "gameplay_tag_container":
+                found.update(("gameplay_tag", str(t), f"{_below(path, 'tags')}[{i}]") for i, t in enumerate(item.get("tags", [])))
+            elif kind == "primary_asset_id" and item.get("id"):
+                found.add(("primary_asset", str(item["id"]), path))
+            for k, v in item.items():
+                visit(v, _below(path, str(k)))
+        elif isinstance(item, list):
+            for i, v in enumerate(item):
+                visit(v, f"{path}[{i}]")
+
+    visit(value, "")
     return sorted(found)
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("kind", "target", "field")])))
-def json_references(text: str | None):
-    """References of a JSON text; nested values have no built-in walk."""
-    return [] if text is None else value_references(json.loads(text))
+_REFERENCE = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("kind", "target", "field")]))
+
+
+def _over_json(f):
+    """An Arrow UDF that gives (kind, target, field) rows for JSON texts; nested values have no built-in walk."""
+    kind = pa.list_(pa.struct([(k, pa.string()) for k in ("kind", "target", "field")]))
+
+    @F.arrow_udf(_REFERENCE)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([[] if t is None else [dict(zip(("kind", "target", "field"), r)) for r in f(json.loads(t))] for t in texts.to_pylist()], kind)
+
+    return run
+
+
+json_references = _over_json(value_references)
+json_typed_references = _over_json(typed_references)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import cut, numbered
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def impact(edges: DataFrame, name, max_depth: int = 3) -> DataFrame:
 
 
 def impact_ordered(edges: DataFrame, name, max_depth: int = 3) -> DataFrame:
-    """As ``impact`` with ``rank``, the place in breadth-first discovery order (dependents of one node by name)."""
+    """As ``impact`` with ``rank``, the place in breadth-first discovery order (dependents of one node by name). A level is ranked by ranges, not in one task."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
     spark = edges.sparkSession
     frontier = cut(spark.createDataFrame([(name, 0, 0)], f"node {dict(edges.dtypes)['dst']}, depth int, rank long"))
@@ -50,8 +50,7 @@ def impact_ordered(edges: DataFrame, name, max_depth: int = 3) -> DataFrame:
     for depth in range(1, max_depth + 1):
         found = frontier.join(back, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("rank").alias("above"))
         fresh = found.join(seen.select("node"), "node", "left_anti")
-        ranked = fresh.withColumn("rank", F.row_number().over(Window.orderBy("above", "node")) + F.lit(done)).select("node", F.lit(depth).alias("depth"), F.col("rank").cast("long").alias("rank"))
-        frontier = cut(ranked)
+        frontier = cut(numbered(fresh, [F.col("above"), F.col("node")]).select("node", F.lit(depth).alias("depth"), (F.col("n") + 1 + done).alias("rank")))
         n = frontier.count()
         if not n:
             break
@@ -141,24 +140,28 @@ def inherited(bases: DataFrame, values: DataFrame) -> DataFrame:
     return out.join(cyclic, "name", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 
 
-#: Node classes that carry no meaning of their own.
-STRUCTURAL = ("K2Node_Knot", "EdGraphNode_Comment", "K2Node_ExecutionSequence", "K2Node_Tunnel")
-SINKS = ("K2Node_FunctionResult", "AnimGraphNode_Root", "MaterialGraphNode_Root")
+#: Marks, in any case, of nodes without a meaning of their own, and of sinks.
+STRUCTURAL = ("k2node_event", "k2node_customevent", "k2node_componentboundevent", "k2node_functionentry", "k2node_functionresult", "k2node_knot", "k2node_tunnel", "animgraphnode_root")
+SINKS = ("result", "root", "tunnel")
 
 
 def semantic_nodes(nodes: DataFrame) -> DataFrame:
     """(node, semantic) of graph nodes that can act, from nodes with pins.
 
-    ``nodes``: object_path, class, pins array<struct<name, direction, type, connections array<struct<node, pin>>>>. Roots have a connected
-    exec output and no exec input, or are sinks with a connected input; the walk goes against all inputs and along exec
-    outputs; structural classes are walked through but are not semantic.
+    ``nodes``: object_path, class, pins array<struct<name, direction, type, connections array<struct<node, pin>>>>, perhaps class_path and type_id, whose
+    marks count too. Roots have a connected exec output and no exec input, or are sinks with a connected input; the walk goes against all inputs
+    and along exec outputs; structural nodes are walked through but are not semantic.
     """
-    p = nodes.select("object_path", "class", F.explode("pins").alias("p"))
-    exec_ = F.lower(F.col("p.type")) == "exec"
-    out, into = F.col("p.direction") == "output", F.col("p.direction") == "input"
+    said = F.lower(F.concat_ws(" ", *[c for c in ("class", "class_path", "type_id") if c in nodes.columns]))
+    marked = lambda marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(F.col("said"), m))
+    every = nodes.select("object_path", "pins", said.alias("said"))
+    p = every.select("object_path", "said", F.explode("pins").alias("p"))
+    exec_ = F.contains(F.lower(F.coalesce("p.type", F.lit(""))), F.lit("exec"))
+    way = F.lower(F.col("p.direction"))
+    out, into = way == "output", way == "input"
     tied = F.size("p.connections") > 0
-    said = p.groupBy("object_path", "class").agg(F.max((exec_ & out & tied).cast("int")).alias("starts"), F.max((exec_ & into).cast("int")).alias("entered"), F.max((into & tied).cast("int")).alias("fed"))
-    roots = said.filter((F.col("starts") == 1) & (F.col("entered") == 0) | F.col("class").isin(*SINKS) & (F.col("fed") == 1)).select(F.col("object_path").alias("node"))
+    known = p.groupBy("object_path", "said").agg(F.max((exec_ & out & tied).cast("int")).alias("starts"), F.max((exec_ & into).cast("int")).alias("entered"), F.max((into & tied).cast("int")).alias("fed"))
+    roots = known.filter((F.col("starts") == 1) & (F.col("entered") == 0) | marked(SINKS) & (F.col("fed") == 1)).select(F.col("object_path").alias("node"))
     walk = p.filter(into | (exec_ & out)).select(F.col("object_path").alias("src"), F.explode("p.connections.node").alias("dst"))
     found = reach(walk, roots).select("node")
-    return found.join(nodes.select(F.col("object_path").alias("node"), "class"), "node").select("node", (~F.col("class").isin(*STRUCTURAL)).alias("semantic"))
+    return found.join(every.select(F.col("object_path").alias("node"), "said"), "node").select("node", (~marked(STRUCTURAL)).alias("semantic"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.storage import cut
 
 
-#: Edges above which sinks are peeled off before one task searches.
-LARGE = 2_000_000
+#: Edges above which sinks are peeled off before one task searches, and edges of what is left that one task may search.
+LARGE, MOST = 2_000_000, 30_000_000
 
 
 def _search(names: list[str], edges: dict[str, list[str]]) -> list[list[str]]:
@@ -55,23 +55,27 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
-def cycles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def cycles(edges: DataFrame, nodes: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """``cycle``: closed node lists, one for each back edge of a depth-first search in name order; exact, so one task searches.
 
     Nodes that reach no cycle do not change what the search finds, so above ``LARGE`` edges they are peeled off first by
-    distributed rounds (edges into nodes without an edge out go). ``scc_members`` answers which nodes lie on cycles without any
-    single task.
+    distributed rounds (edges into nodes without an edge out go). More than ``most`` edges that are left are an error; ``scc_members`` answers
+    which nodes lie on cycles without any single task.
     """
     all_edges = edges.select("src", "dst")
     if nodes is not None:  # edges to unknown names do not count
         known = nodes.select(F.col("name"))
         all_edges = all_edges.join(known.withColumnRenamed("name", "src"), "src", "left_semi").join(known.withColumnRenamed("name", "dst"), "dst", "left_semi")
     heads = all_edges.filter("src <> dst").distinct()
-    for _ in range(20):
-        heads = cut(heads)
-        if heads.count() <= LARGE:
+    heads = cut(heads)
+    n = heads.count()
+    while n > LARGE:  # a round for each node of the longest tail
+        heads = cut(heads.join(heads.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        n, before = heads.count(), n
+        if n == before:
             break
-        heads = heads.join(heads.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    if n > most:
+        raise ValueError(f"{n} edges can lie on cycles, more than one task searches ({most}); use scc_members")
     kind = dict(edges.dtypes)["src"]
 
     def run(t):
@@ -88,15 +92,54 @@ def cycles(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return heads.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, f"cycle array<{kind}>")
 
 
-def scc_members(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes on cycles, by label propagation forwards and backwards over the cyclic core; scales out.
-
-    Names are ranked by hash, so that no order of names along the edges makes rounds many. Each round settles at least the least node,
-    with its component or as lying on no cycle (between two cycles, say), and rounds go on until the core is empty.
+def _components(edges: dict) -> list[tuple]:
+    """(node, least node of its component) for the nodes on cycles, by one depth-first search."""
+    index, low, on, stack, out = {}, {}, set(), [], []
+    for start in sorted(edges):
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        work = [(start, iter(edges.get(start, ())))]
+        while work:
+            at, ways = work[-1]
+            nxt = next(ways, None)
+            if nxt is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == index[at]:
+                    members = []
+                    while True:
+                        members.append(stack.pop())
+                        on.discard(members[-1])
+                        if members[-1] == at:
+                            break
+                    if len(members) > 1:
+                        out += [(m, min(members)) for m in members]
+            elif nxt not in index:
+                index[nxt] = low[nxt] = len(index)
+                stack.append(nxt)
+                on.add(nxt)
+                work.append((nxt, iter(edges.get(nxt, ()))))
+            elif nxt in on:
+                low[at] = min(low[at], index[nxt])
+    return out
+
+
+def scc_members(edges: DataFrame, large: int | None = None) -> DataFrame:
+    """(node, component) of the nodes on cycles; the component is its least node.
+
+    Up to ``large`` (``LARGE``) edges one task searches depth first. More are settled by label propagation forwards and backwards over the cyclic core, which
+    scales out: names are ranked by hash, so that no order of names along the edges makes rounds many; each round settles at least the least node, with its
+    component or as lying on no cycle (between two cycles, say), and rounds go on until the core has so few edges or is empty. A round spreads labels a hop at a time.
     """
-    out = None
-    core = cyclic_core(edges)
-    while not core.isEmpty():
+    large = LARGE if large is None else large
+    out, core = None, cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    n = core.count()
+    while n > large:
+        core = cyclic_core(core)
         fore, back = _least(core, "src", "dst"), _least(core, "dst", "src")
         both = cut(fore.join(back.withColumnRenamed("least", "b"), "node"))
         met = both.filter("least = b").select("node", "least")
@@ -105,8 +148,21 @@ def scc_members(edges: DataFrame) -> DataFrame:
         out = done if out is None else out.unionByName(done)
         rest = both.filter("least <> b")
         a = core.join(rest.toDF("src", "l", "lb"), "src").join(rest.toDF("dst", "m", "mb"), "dst")
-        core = cyclic_core(a.filter("l = m and lb = mb").select("src", "dst"))
-    return out if out is not None else core.select(F.col("src").alias("node"), F.col("src").alias("component"))
+        core = cut(a.filter("l = m and lb = mb").select("src", "dst"))
+        n = core.count()
+    kind = dict(edges.dtypes)["src"]
+
+    def run(t):
+        import pyarrow as pa
+
+        ways: dict = {}
+        for a, b in zip(t.column("src").to_pylist(), t.column("dst").to_pylist()):
+            ways.setdefault(a, []).append(b)
+        found = _components({k: sorted(v) for k, v in ways.items()})
+        return pa.table({c: pa.array([f[i] for f in found], t.column("src").type) for i, c in enumerate(("node", "component"))})
+
+    last = core.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, f"node {kind}, component {kind}")
+    return last if out is None else out.unionByName(last)
 
 
 def _least(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import file_id
-from ..functions.text import in_skipped, leaf, stem, type_names
+from ..functions.text import SKIPPED_FOLDED, in_skipped, is_generated, leaf, parent, source_kind, stem, type_names
 from .closure import reach
-from .resolve import applicable, origin_rank, overlay_winner, reference_status, scoped, synthetic_nodes
+from .resolve import adjacent_markers, applicable, deepest_owner, origin_rank, overlay_winner, reference_status, scoped, synthetic_nodes
+from .upsert import union
 
 # --- types ----------------------------------------------------------------------------------------
 
@@ -16,30 +17,47 @@ from .resolve import applicable, origin_rank, overlay_winner, reference_status,
 def type_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of types from C++ facts (path, kind, name, owner, detail, line).
 
-    Bases and field types are resolved by scope; bases that resolve to nothing stay as text in ``base_types`` and give no edge;
-    self-edges go.
+    The type names in bases and fields are resolved by what is written out, by the scopes around the type that uses them, or as the only one of that name; a base
+    that resolves to nothing stays as text in ``base_types`` and gives no edge; self-edges go.
     """
     q = F.concat_ws("::", F.nullif("owner", F.lit("")), "name")
+    around = lambda c: F.regexp_replace(c, "(^|::)[^:]+$", "")
     types = facts.filter("kind = 'type'").select("path", "line", q.alias("qualified"), F.col("owner").alias("scope"), F.filter(F.split("detail", ","), lambda b: b != "").alias("bases"))
-    fields = facts.filter("kind = 'field'").select("path", "line", F.col("owner").alias("source"), F.col("owner").alias("scope"), F.explode(type_names(F.col("detail"))).alias("expression"), F.lit("field_type").alias("kind"))
-    up = types.select("path", "line", F.col("qualified").alias("source"), "scope", F.explode("bases").alias("expression"), F.lit("inheritance").alias("kind")).withColumn("expression", F.regexp_replace("expression", "<.*", ""))
-    uses = up.unionByName(fields).withColumn("use_id", F.struct("path", "line", "source", "expression", "kind"))
-    known = scoped(uses.select("use_id", "scope", "expression").distinct(), types.select("qualified")).select("use_id", F.col("qualified").alias("target"))
+    cols = ["path", "line", "source", "scope", "text", "kind"]
+    fields = facts.filter("kind = 'field'").select("path", "line", F.col("owner").alias("source"), around(F.col("owner")).alias("scope"), F.col("detail").alias("text"), F.lit("field_type").alias("kind"))
+    up = types.select("path", "line", F.col("qualified").alias("source"), "scope", F.explode("bases").alias("text"), F.lit("inheritance").alias("kind"))
+    uses = up.unionByName(fields).select(*cols, F.explode_outer(type_names(F.col("text"))).alias("expression")).withColumn("use_id", F.struct(*cols, "expression"))
+    known = scoped(uses.filter("expression is not null").select("use_id", "scope", "expression", "text").distinct(), types.select("qualified")).select("use_id", F.col("qualified").alias("target"))
     bound = known.filter("target is not null").select("use_id.*", "target").filter("source <> target")
     edges = bound.select("source", "target", "kind", "path", "line").distinct()
-    inherited = up.withColumn("use_id", F.struct("path", "line", "source", "expression", "kind")).join(known, "use_id", "left")
-    bases = inherited.groupBy(F.col("source").alias("name")).agg(F.array_sort(F.collect_set(F.coalesce("target", "expression"))).alias("base_types"))
+    told = uses.filter("kind = 'inheritance'").join(known, "use_id", "left")
+    bases = told.groupBy(F.col("source").alias("name")).agg(F.array_sort(F.collect_set(F.coalesce("target", "expression"))).alias("base_types"))
     nodes = types.groupBy(F.col("qualified").alias("name")).agg(F.lit("type").alias("kind"), F.array_sort(F.collect_set("path")).alias("files")).join(bases, "name", "left")
     return nodes.withColumn("base_types", F.coalesce("base_types", F.array().cast("array<string>"))), edges
 
 
-def interface_candidates(facts: DataFrame) -> DataFrame:
-    """Types with the reasons for which they may be interfaces: their name, a marker above them, a base that is one."""
+#: Macros above a declaration that speak of it, and reasons for which a type may be an interface.
+REFLECTION = ("UCLASS", "USTRUCT", "UENUM", "UINTERFACE", "UFUNCTION", "UPROPERTY", "UDELEGATE")
+REASONS = ("UINTERFACE macro", "derives from UInterface", "paired I/U interface naming")
+
+
+def interface_candidates(facts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Types with the reasons for which they may be interfaces: ``UINTERFACE()`` directly above them, a base, or an I beside a U of one name.
+
+    ``lines`` (path, line, text) tells what stands between a macro and the type: only blank lines and other such macros may.
+    """
     types = facts.filter("kind = 'type'").select("path", "line", "name", F.split("detail", ",").alias("bases"))
-    marks = facts.filter("kind = 'macro' and name = 'UINTERFACE'").select("path", F.col("line").alias("at")).withColumn("marked", F.lit(True))
-    near = types.join(marks, (types["path"] == marks["path"]) & (marks["at"] < types["line"]) & (marks["at"] >= types["line"] - 3), "left").groupBy(types["path"], "line", "name", "bases").agg(F.max(F.coalesce("marked", F.lit(False))).alias("marked"))
-    reasons = F.array_compact(F.array(F.when(F.col("name").rlike("^I[A-Z]"), "interface_name"), F.when(F.col("marked"), "interface_macro"), F.when(F.exists("bases", lambda b: b == "UInterface"), "interface_base")))
-    return near.select("path", "name", reasons.alias("reasons")).filter(F.size("reasons") > 0)
+    at = types.select("path", "line").distinct().withColumn("is_type", F.lit(True))
+    macros = facts.filter((F.col("kind") == "macro") & F.col("name").isin(*REFLECTION)).groupBy("path", "line").agg(F.max((F.col("name") == "UINTERFACE") & (F.trim("detail") == "")).alias("plain"))
+    told = lines.select("path", "line", "text").join(at, ["path", "line"], "left").join(macros, ["path", "line"], "left")
+    above = adjacent_markers(told, F.col("plain").isNotNull(), F.coalesce("is_type", F.lit(False)), doc="path")
+    plain = above.join(macros.filter("plain").withColumnRenamed("line", "marker_line"), ["path", "marker_line"])
+    marked = plain.select("path", F.col("target_line").alias("line")).distinct().withColumn("marked", F.lit(True))
+    pairs = types.filter(F.startswith("name", F.lit("U"))).select(F.concat(F.lit("I"), F.substr("name", F.lit(2))).alias("name")).distinct().withColumn("paired", F.lit(True))
+    out = types.join(marked, ["path", "line"], "left").join(pairs, "name", "left")
+    tests = (F.col("marked"), F.exists("bases", lambda b: b == "UInterface"), F.col("paired"))
+    reasons = F.array_compact(F.array(*[F.when(t, r) for t, r in zip(tests, REASONS)]))
+    return out.select("path", "name", reasons.alias("reasons")).filter(F.size("reasons") > 0)
 
 
 def rules_classes(facts: DataFrame, required: str) -> DataFrame:
@@ -65,9 +83,13 @@ def function_flow(facts: DataFrame, name: str) -> DataFrame:
     return facts.filter(F.col("kind").isin("control", "call") & own).select("path", "owner", "kind", "name", "line").orderBy("path", "line")
 
 
+#: Fields of a graph node that are no references of its own.
+OWN_FIELDS = (".object_path", ".class_path", ".connections")
+
+
 def meaningful(references: DataFrame, field: str = "field") -> DataFrame:
     """References without those of structural fields and of anything under connections."""
-    return references.filter(~F.contains(field, F.lit("connections")) & ~F.exists(F.array(*[F.lit(x) for x in ("class_path", "type_schema", "object_path")]), lambda s: F.endswith(F.col(field), s)))
+    return references.filter(~F.contains(field, F.lit(".connections[")) & ~F.exists(F.array(*[F.lit(x) for x in OWN_FIELDS]), lambda s: F.endswith(F.col(field), s)))
 
 
 # --- modules, plugins and paths -------------------------------------------------------------------
@@ -124,22 +146,28 @@ def classify_paths(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- the file graph -----------------------------------------------------------------------------
 
 
-def build(files: DataFrame, plugins: DataFrame, module_refs: DataFrame, includes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Node kinds by the end of a file's name.
+FILE_KINDS = {".uproject": "project_file", ".build.cs": "module_rules_file", ".target.cs": "target_file", ".uplugin": "plugin_file"}
+
+
+def build(files: DataFrame, plugins: DataFrame, module_refs: DataFrame, includes: DataFrame, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, evidence) of a project's files.
 
-    ``files``: rel path. ``plugins``: source path, name, enabled, line. ``module_refs``: source path, name, kind (DEPENDS_ON_MODULE or REFERENCES_MODULE), line.
-    ``includes``: source path, target, path (or null), status, line; only resolved, generated and system ones become edges.
-    Module and plugin names meet their files by folded name: one candidate resolves, several or none give a synthetic node.
+    ``files``: rel path. ``plugins``: source path, name, enabled, line. ``module_refs``: source path, name, kind (DECLARES_MODULE, DEPENDS_ON_MODULE or REFERENCES_MODULE), line.
+    ``includes``: source path, target, path (or null), status, line; only resolved, generated and system ones become edges. ``entries``: rules path, source path, line of
+    registrations (MODULE_ENTRY). Rules files contain the source files below them that no deeper rules file owns (CONTAINS_FILE); the
+    project declares its targets (DECLARES_TARGET). Module and plugin names meet their files by folded name: one candidate resolves, several or none give a synthetic node.
     """
-    own = files.filter(~in_skipped(F.col("rel")))
+    own = files.filter(~in_skipped(F.col("rel"), SKIPPED_FOLDED, folded=True))
     name = F.lower(leaf(F.col("rel")))
-    kind = F.when(F.endswith(name, F.lit(".uproject")), "project_file").when(F.endswith(name, F.lit(".build.cs")), "module_rules_file").when(F.endswith(name, F.lit(".target.cs")), "target_file").when(F.endswith(name, F.lit(".uplugin")), "plugin_file").when(name.rlike(r"\.(h|hpp|inl|c|cc|cpp)$"), "source_file")
+    kind = F.coalesce(*[F.when(F.endswith(name, F.lit(e)), k) for e, k in FILE_KINDS.items()], F.when((source_kind(F.col("rel")) != "other") & ~is_generated(name), "source_file"))
     node = lambda k, key: file_id("node", k, key)
     nodes = own.withColumn("kind", kind).filter("kind is not null").select(node(F.col("kind"), F.col("rel")).alias("node_id"), "kind", F.regexp_extract(leaf(F.col("rel")), r"^([^.]+)", 1).alias("name"), F.col("rel").alias("path"))
     at = nodes.select(F.col("path").alias("source"), F.col("node_id").alias("source_id"))
+    of = lambda k: nodes.filter(F.col("kind") == k)
 
-    def bind(refs: DataFrame, of: str, outside: str) -> tuple[DataFrame, DataFrame]:
-        done = reference_status(refs, nodes.filter(F.col("kind") == of).select("name", F.col("node_id").alias("id")))
+    def bind(refs: DataFrame, kind_: str, outside: str) -> tuple[DataFrame, DataFrame]:
+        done = reference_status(refs, of(kind_).select("name", F.col("node_id").alias("id")))
         return done.join(at, "source"), synthetic_nodes(done, outside)
 
     p, pn = bind(plugins.withColumn("kind", F.when(F.endswith(F.lower("source"), F.lit(".uplugin")), "DEPENDS_ON_PLUGIN").when(F.col("enabled").eqNullSafe(F.lit(True)), "ENABLES_PLUGIN").otherwise("DISABLES_PLUGIN")), "plugin_file", "external_plugin")
@@ -148,15 +176,28 @@ def build(files: DataFrame, plugins: DataFrame, module_refs: DataFrame, includes
     tag = lambda d, k: d.withColumn("target", F.when(F.col("resolution_status") == "resolved", F.col("target")).otherwise(node(F.lit(k), F.lower("name"))))
     pn, mn = (d.select(node(F.lit(k), F.col("name")).alias("node_id"), "kind", "name") for d, k in ((pn, "external_plugin"), (mn, "external_module")))
     cols = ["source_id", F.col("target").alias("target_id"), "kind", "resolution_status", F.col("source").alias("path"), "line"]
-    edges = tag(p, "external_plugin").select(*cols).unionByName(tag(m, "external_module").select(*cols))
+    parts = [tag(p, "external_plugin").select(*cols), tag(m, "external_module").select(*cols)]
+    edge = lambda d, s, t, k, path, line: d.select(F.col(s).alias("source_id"), F.col(t).alias("target_id"), F.lit(k).alias("kind"), F.lit("resolved").alias("resolution_status"), path.alias("path"), line.cast("int").alias("line"))
+    rules = of("module_rules_file").select(F.col("node_id").alias("rules_id"), F.col("path").alias("rules"), parent(F.col("path")).alias("owner"))
+    held = deepest_owner(of("source_file"), rules.withColumnRenamed("owner", "root")).filter("owner is not null").join(rules, "owner")
+    parts.append(edge(held, "rules_id", "node_id", "CONTAINS_FILE", F.col("rules"), F.lit(1)))
+    home = of("project_file").select(F.col("node_id").alias("project_id"), parent(F.col("path")).alias("home"))
+    inside = deepest_owner(of("target_file").withColumn("path", F.concat(F.lit("./"), "path")), home.select(F.when(F.col("home") == "", ".").otherwise(F.concat(F.lit("./"), "home")).alias("root")))
+    below = inside.withColumn("home", F.regexp_replace("owner", r"^\./?", "")).join(home, "home").withColumn("path", F.substr("path", F.lit(3)))
+    parts.append(edge(below, "project_id", "node_id", "DECLARES_TARGET", F.col("path"), F.lit(1)))
+    files_at = of("source_file").select(F.lower("path").alias("folded"), F.col("node_id").alias("hit"))
+    if entries is not None:
+        told = entries.join(at.withColumnRenamed("source", "rules"), "rules").join(files_at, F.lower("source") == F.col("folded"))
+        parts.append(edge(told, "source_id", "hit", "MODULE_ENTRY", F.col("source"), F.col("line")))
     inc = includes.filter(F.col("status").isin("resolved", "generated_header", "system_or_sdk_unresolved")).join(at, "source")
-    files_at = nodes.filter("kind = 'source_file'").select(F.col("path"), F.col("node_id").alias("hit"))
-    inc = inc.join(files_at, "path", "left")
-    outside = F.when(F.col("status") == "generated_header", "external_file").otherwise("unresolved_include")
-    inc = inc.withColumn("target_id", F.coalesce("hit", node(outside, F.col("target"))))
-    ext = inc.filter("hit is null").select(F.col("target_id").alias("node_id"), outside.alias("kind"), F.col("target").alias("name")).distinct()
-    edges = edges.unionByName(inc.select("source_id", "target_id", F.lit("INCLUDES").alias("kind"), F.col("status").alias("resolution_status"), F.col("source").alias("path"), "line"))
-    edges = edges.withColumn("certainty", F.when(F.col("resolution_status") == "resolved", "observed").otherwise("inferred")).withColumn("edge_id", file_id("edge", F.col("source_id"), F.col("kind"), F.col("target_id"), F.col("resolution_status")))
+    inc = inc.join(files_at, F.lower("path") == F.col("folded"), "left")
+    outside = F.when(F.col("path").isNotNull(), "external_file").otherwise("unresolved_include")
+    named = F.coalesce("path", "target")
+    inc = inc.withColumn("target_id", F.coalesce("hit", node(outside, named)))
+    ext = inc.filter("hit is null").select(F.col("target_id").alias("node_id"), outside.alias("kind"), named.alias("name")).distinct()
+    parts.append(inc.select("source_id", "target_id", F.lit("INCLUDES").alias("kind"), F.col("status").alias("resolution_status"), F.col("source").alias("path"), "line"))
+    edges = union(parts)
+    edges = edges.withColumn("certainty", F.when(F.col("resolution_status") == "ambiguous", "inferred").otherwise("observed")).withColumn("edge_id", file_id("edge", F.col("source_id"), F.col("kind"), F.col("target_id"), F.col("resolution_status")))
     none = lambda d: d.withColumn("path", F.lit(None).cast("string")).select("node_id", "kind", "name", "path")
     every = nodes.unionByName(none(pn)).unionByName(none(mn)).unionByName(none(ext)).dropDuplicates(["node_id"])
     evidence = edges.select(file_id("evidence", F.col("edge_id"), F.col("path"), F.col("line")).alias("evidence_id"), "edge_id", "path", "line").distinct()

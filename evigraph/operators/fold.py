@@ -9,22 +9,20 @@ from pyspark.sql import functions as F
 def fold_declarations(rows: DataFrame, by: list[str], seq: str = "seq", op: str = "operator", value: str = "value") -> DataFrame:
     """Final value lists by group: ``!`` clears, ``-`` removes all equal, ``+`` appends if absent, ``.`` appends, ``set`` replaces.
 
-    Declarations of one key are folded in order as one array; keys, not tables, bound its size.
+    What remains follows from three aggregations, so a group's declarations need not meet in one task: those after the last clearing of their
+    group, of them those after the last removal of their value, and of additions the first of their value. A group with nothing left has an empty list.
     """
+    r = rows.select(F.struct(*by).alias("k"), F.col(seq).alias("s"), F.col(op).alias("o"), F.col(value).alias("v"))  # structs are equal with nulls inside
+    cuts = r.groupBy("k").agg(F.max(F.when(F.col("o").isin("!") | ~F.col("o").isin("!", "-", "+", "."), F.col("s"))).alias("cut"))
+    live = r.join(cuts, "k").filter(F.col("cut").isNull() | (F.col("s") > F.col("cut")) | (F.col("s") == F.col("cut")) & (F.col("o") != "!"))
+    told = live.select("k", F.struct("v").alias("w"), "s", "o")
+    gone = told.filter("o = '-'").groupBy("k", "w").agg(F.max("s").alias("gone"))
+    left = told.filter("o <> '-'").join(gone, ["k", "w"], "left").filter("gone is null or s > gone")
+    first = left.groupBy("k", "w").agg(F.min("s").alias("first"))
+    kept = left.join(first, ["k", "w"]).filter("o <> '+' or s = first")
+    lists = kept.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", F.col("w.v").alias("v")))), lambda x: x["v"]).alias("values"))
     kind = dict(rows.dtypes)[value]
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(op).alias("o"), F.col(value).alias("v"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        one = F.array(x["v"])
-        return (
-            F.when(x["o"] == "!", F.array().cast(f"array<{kind}>"))
-            .when(x["o"] == "-", F.array_remove(acc, x["v"]))
-            .when(x["o"] == "+", F.when(F.array_contains(acc, x["v"]), acc).otherwise(F.concat(acc, one)))
-            .when(x["o"] == ".", F.concat(acc, one))
-            .otherwise(one)
-        )
-
-    return rows.groupBy(*by).agg(F.aggregate(ordered, F.array().cast(f"array<{kind}>"), step).alias("values"))
+    return cuts.select("k").join(lists, "k", "left").select("k.*", F.coalesce("values", F.array().cast(f"array<{kind}>")).alias("values"))
 
 
 def running_section(lines: DataFrame, section: Column, by: str = "file", line: str = "line") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+
 _RANK = {"error": 2, "warning": 1, "info": 0}
 
 
@@ -36,24 +38,33 @@ def evidence_counts(relations: DataFrame, evidence: DataFrame, key: str = "relat
 def validate_graph(nodes: DataFrame, relations: DataFrame, evidence: DataFrame, declared: dict[str, int] | None = None) -> DataFrame:
     """Problem rows of six checks: duplicate nodes and relations, dangling ends and evidence, missing evidence, counts.
 
-    Declared counts are compared with distinct nodes and relations, and with all evidence rows.
+    Declared counts are compared with distinct nodes and relations, and with all evidence rows. The ids are read once and checkpointed; one aggregation by
+    node id and one by relation id then tell all but the rows that dangle, which are looked up by the few ids that have no parent.
     """
+    n = cut(nodes.select("node_id"))
+    r = cut(relations.select("relation_id", "source_id", "target_id"))
+    e = cut(evidence.select("evidence_id", "relation_id"))
+    ends = r.select("relation_id", F.explode(F.array("source_id", "target_id")).alias("node_id"))
+    at = n.select("node_id", F.lit(1).alias("own")).unionByName(ends.select("node_id", F.lit(0).alias("own")))
+    by_node = cut(at.groupBy("node_id").agg(F.sum("own").alias("own")).filter("own <> 1"))
+    of = r.select("relation_id", F.lit(1).alias("own"), F.lit(0).alias("told")).unionByName(e.select("relation_id", F.lit(0).alias("own"), F.lit(1).alias("told")))
+    by_relation = cut(of.groupBy("relation_id").agg(F.sum("own").alias("own"), F.sum("told").alias("told")).filter("own <> 1 or told = 0"))
+    null = F.col("node_id").isNull()
+    missing = ends.join(by_node.filter("own = 0").select("node_id"), "node_id", "left_semi").unionByName(ends.filter(null).select("node_id", "relation_id"))
+    dangling = missing.groupBy("relation_id").agg(F.array_join(F.array_sort(F.collect_set("node_id")), ",").alias("missing"))
+    lost = e.join(by_relation.filter("own = 0").select("relation_id"), "relation_id", "left_semi").unionByName(e.filter("relation_id is null").select("relation_id", "evidence_id"))
     parts = [
-        duplicates(nodes, "node_id").select(*problem("error", "duplicate-node-id", F.col("node_id"))),
-        duplicates(relations, "relation_id").select(*problem("error", "duplicate-relation-id", F.col("relation_id"))),
+        by_node.filter("own > 1").select(*problem("error", "duplicate-node-id", F.col("node_id"))),
+        by_relation.filter("own > 1").select(*problem("error", "duplicate-relation-id", F.col("relation_id"))),
+        dangling.select(*problem("error", "dangling-relation-endpoint", F.col("relation_id"), F.col("missing"))),
+        lost.select(*problem("error", "dangling-evidence", F.col("evidence_id"))),
+        by_relation.filter("own > 0 and told = 0").select(*problem("warning", "relation-evidence-missing", F.col("relation_id"))),
     ]
-    ends = relations.select("relation_id", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("source_id").alias("node_id")), F.struct(F.lit(1).alias("o"), F.col("target_id").alias("node_id")))).alias("e")).select("relation_id", "e.*")
-    missing = orphans(ends, "node_id", nodes, "node_id")
-    dangling = missing.groupBy("relation_id").agg(F.array_join(F.array_sort(F.collect_set("node_id")), ",").alias("missing"))
-    parts.append(dangling.select(*problem("error", "dangling-relation-endpoint", F.col("relation_id"), F.col("missing"))))
-    parts.append(orphans(evidence, "relation_id", relations, "relation_id").select(*problem("error", "dangling-evidence", F.col("evidence_id"))))
-    none = relations.select("relation_id").distinct().join(evidence.select("relation_id").distinct(), "relation_id", "left_anti")
-    parts.append(none.select(*problem("warning", "relation-evidence-missing", F.col("relation_id"))))
     if declared:
-        counts = {"nodes": nodes.select("node_id").distinct(), "relations": relations.select("relation_id").distinct(), "evidence": evidence}
+        counts = {"nodes": n.distinct(), "relations": r.select("relation_id").distinct(), "evidence": e}
         for name, want in declared.items():
-            n = counts[name].agg(F.count("*").alias("n")).filter(F.col("n") != want)
-            parts.append(n.select(*problem("error", "graph-count-mismatch", F.lit(name), F.concat_ws("/", F.lit(want), F.col("n")))))
+            c = counts[name].agg(F.count("*").alias("n")).filter(F.col("n") != want)
+            parts.append(c.select(*problem("error", "graph-count-mismatch", F.lit(name), F.concat_ws("/", F.lit(want), F.col("n")))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -69,6 +80,13 @@ def diff_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("canonical_key", change.alias("change")).filter("change is not null")
 
 
+def key_sets(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, change): added, removed or common, for each distinct key of two tables. One aggregation."""
+    both = before.select(key, F.lit(1).alias("was"), F.lit(0).alias("is")).unionByName(after.select(key, F.lit(0).alias("was"), F.lit(1).alias("is")))
+    c = both.groupBy(key).agg(F.max("was").alias("was"), F.max("is").alias("is"))
+    return c.select(key, F.when(F.col("was") == 0, "added").when(F.col("is") == 0, "removed").otherwise("common").alias("change"))
+
+
 def relation_triples(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """(source_key, kind, target_key); relations with an unknown end have none."""
     keys = nodes.select("node_id", "canonical_key")

@@ -121,12 +121,18 @@ def declaration_relation(rows: DataFrame, key: str = "usr") -> DataFrame:
 
 
 def scoped(uses: DataFrame, types: DataFrame) -> DataFrame:
-    """Uses (use_id, scope, expression) resolved to a type's qualified name.
+    """Uses (use_id, scope, expression, perhaps text) resolved to a type's qualified name.
 
-    A qualified name in the expression wins; then the enclosing scopes from inner to outer; then a short name that only one type has.
+    A qualified name written out wins, in ``text`` where it is given (if it is the only one of the short name ``expression`` there), else as the whole expression; then
+    the enclosing scopes from inner to outer; then a short name that only one type has.
     """
     known = types.select("qualified").distinct().withColumn("short", F.substring_index("qualified", "::", -1))
-    direct = uses.join(known, F.col("expression") == F.col("qualified")).select("use_id", F.lit(0).alias("rank"), "qualified")
+    if "text" in uses.columns:
+        of = uses.join(known.filter(F.contains("qualified", F.lit("::"))), F.col("expression") == F.col("short"))
+        written = of.filter(F.rlike("text", F.concat(F.lit(r"(?<!\w)\Q"), "qualified", F.lit(r"\E(?!\w)"))))
+        direct = written.groupBy("use_id").agg(F.count("*").alias("c"), F.min("qualified").alias("qualified")).filter("c = 1").select("use_id", F.lit(0).alias("rank"), "qualified")
+    else:
+        direct = uses.join(known, F.col("expression") == F.col("qualified")).select("use_id", F.lit(0).alias("rank"), "qualified")
     parts = F.split("scope", "::")
     scopes = uses.withColumn("n", F.explode(F.sequence(F.size(parts), F.lit(1), F.lit(-1)))).select("use_id", "n", F.concat_ws("::", F.array_join(F.slice(parts, F.lit(1), F.col("n")), "::"), "expression").alias("qualified"), F.size(parts).alias("m"))
     inner = scopes.join(known, "qualified").select("use_id", (F.col("m") - F.col("n") + 1).alias("rank"), "qualified")

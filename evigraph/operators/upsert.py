@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def first_by(value: str, seq: str = "seq") -> Column:
     return F.min_by(value, seq)
 
@@ -27,8 +34,9 @@ def upsert_nodes(rows: DataFrame, key: str = "node_id", seq: str = "seq", first:
 
 def merge_maps(rows: DataFrame, key: str = "node_id", seq: str = "seq", properties: str = "properties", nulls_override: bool = True) -> DataFrame:
     """Shallow merge of property maps by key and field: the last observation wins; without ``nulls_override`` empty values do not."""
-    fields = rows.select(key, seq, F.explode(properties).alias("field", "value"))
-    value = F.max_by("value", seq) if nulls_override else F.coalesce(F.max_by("value", F.when(is_told(F.col("value")), F.col(seq))), F.min_by("value", seq))
+    fields = rows.select(key, F.col(seq).alias("__s"), F.explode(properties).alias("field", "value"))
+    at = F.struct("__s", "value")  # of equal places the largest value
+    value = F.max_by("value", at) if nulls_override else F.coalesce(F.max_by("value", F.when(is_told(F.col("value")), at)), F.min_by("value", at))
     merged = fields.groupBy(key, "field").agg(value.alias("value"))
     return merged.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias(properties))
 

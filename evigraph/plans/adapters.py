@@ -73,12 +73,14 @@ def pg_evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ring(spark: SparkSession, sf: str, m: int = 500) -> DataFrame:
-    """(src, dst): customer k to (7k + 3) mod m, without self-edges and unknown names."""
-    k = read(spark, sf, "customer").select(F.col("c_custkey").alias("k")).filter(F.col("k") < m)
-    e = k.select(F.col("k").alias("s"), ((7 * F.col("k") + 3) % m).alias("t")).filter("s <> t")
-    e = e.join(k.withColumnRenamed("k", "t"), "t", "left_semi")
-    name = lambda c: F.concat(F.lit("c"), F.lpad(F.col(c).cast("string"), 5, "0"))
+def ring(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, dst): customer k to k + 7 inside its block of ten, round it; every tenth block passes on to the next one, so nodes have one way out or two."""
+    k = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    base, last = F.col("k") - F.col("k") % 10, F.col("k") % 10
+    round_ = k.select(F.col("k").alias("s"), (base + (last + 7) % 10).alias("t"))
+    on = k.filter("k % 100 = 5").select(F.col("k").alias("s"), (F.col("k") + 10).alias("t"))
+    e = round_.unionByName(on).filter("s <> t").join(k.withColumnRenamed("k", "t"), "t", "left_semi")
+    name = lambda c: F.concat(F.lit("c"), F.lpad(F.col(c).cast("string"), 12, "0"))
     return e.select(name("s").alias("src"), name("t").alias("dst"))
 
 
@@ -138,8 +140,8 @@ CTE = {
     "evidence": """evidence AS (SELECT DISTINCT 'evidence:' || substr(sha256(l_orderkey || chr(0) || l_partkey || chr(0) || l_suppkey || chr(0) || l_linenumber), 1, 24) AS evidence_id,
  'edge:' || substr(sha256('CONTAINS' || chr(0) || 'order' || chr(0) || l_orderkey || chr(0) || 'part' || chr(0) || l_partkey), 1, 24) AS edge_id,
  'order/' || l_orderkey AS path, l_linenumber AS line FROM lineitem)""",
-    "ring": """k AS (SELECT c_custkey AS k FROM customer WHERE c_custkey < 500),
-ring AS (SELECT 'c' || lpad(CAST(k AS VARCHAR), 5, '0') AS src, 'c' || lpad(CAST((7 * k + 3) % 500 AS VARCHAR), 5, '0') AS dst FROM k WHERE k <> (7 * k + 3) % 500 AND (7 * k + 3) % 500 IN (SELECT k FROM k))""",
+    "ring": """k AS (SELECT c_custkey AS k FROM customer), l AS (SELECT k AS s, k - k % 10 + (k % 10 + 7) % 10 AS t FROM k UNION ALL SELECT k, k + 10 FROM k WHERE k % 100 = 5),
+ring AS (SELECT 'c' || lpad(CAST(s AS VARCHAR), 12, '0') AS src, 'c' || lpad(CAST(t AS VARCHAR), 12, '0') AS dst FROM l WHERE s <> t AND t IN (SELECT k FROM k))""",
     "tree": "tree AS (SELECT c_custkey AS name, CAST(floor(c_custkey / 10) AS BIGINT) AS base FROM customer WHERE c_custkey > 0)",
     "decl": """decl AS (SELECT event_type AS section, user_id % 20 AS key, event_id AS seq, CASE WHEN event_id % 50 = 0 THEN '!' WHEN event_id % 50 = 1 THEN 'set' WHEN event_id % 50 <= 11 THEN '-' WHEN event_id % 50 <= 20 THEN '.' ELSE '+' END AS operator, CAST(event_id % 7 AS VARCHAR) AS value FROM events)""",
     "old": "old AS (SELECT 'p|order|' || o_orderkey AS canonical_key, o_orderstatus AS properties, o_custkey FROM orders WHERE o_orderkey % 10 <> 0)",

@@ -139,12 +139,28 @@ def neighbourhood(spark, sf):
     return closure.reach(closure.both_ways(_places(spark, sf)), seed, 2)
 
 
-@query()
+_CAPPED = f""", pe AS (SELECT * FROM edges WHERE kind IN ('IN_NATION', 'IN_REGION')), both_ AS (SELECT kind, edge_id, source_id AS x, target_id AS y FROM pe UNION ALL SELECT kind, edge_id, target_id, source_id FROM pe),
+l0 AS (SELECT node_id AS n, 0 AS d FROM nodes WHERE node_id = {a._nid(repr('nation'), '3')}),
+m1 AS (SELECT y AS n, min(kind || '|' || edge_id) AS o FROM both_ WHERE x IN (SELECT n FROM l0) AND y NOT IN (SELECT n FROM l0) GROUP BY 1),
+l1 AS (SELECT n, 1 AS d FROM (SELECT *, row_number() OVER (ORDER BY o) AS r FROM m1) WHERE r <= 40 - (SELECT count(*) FROM l0)), s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1),
+m2 AS (SELECT y AS n, min(kind || '|' || edge_id) AS o FROM both_ WHERE x IN (SELECT n FROM l1) AND y NOT IN (SELECT n FROM s1) GROUP BY 1),
+l2 AS (SELECT n, 2 AS d FROM (SELECT *, row_number() OVER (ORDER BY o) AS r FROM m2) WHERE r <= 40 - (SELECT count(*) FROM s1)), s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM l2),
+m3 AS (SELECT y AS n, min(kind || '|' || edge_id) AS o FROM both_ WHERE x IN (SELECT n FROM l2) AND y NOT IN (SELECT n FROM s2) GROUP BY 1),
+l3 AS (SELECT n, 3 AS d FROM (SELECT *, row_number() OVER (ORDER BY o) AS r FROM m3) WHERE r <= 40 - (SELECT count(*) FROM s2)), s3 AS (SELECT * FROM s2 UNION ALL SELECT * FROM l3)"""
+
+
+@query(a.sql(f"{_CAPPED} SELECT nodes.*, d AS distance FROM nodes JOIN s3 ON n = node_id", "nodes", "links", "edges"))
 def neighbourhood_capped(spark, sf):
     center = spark.range(1).select(a.node_id("nation", F.lit("3"))).first()[0]
     return closure.neighbourhood(a.pg_nodes(spark, sf), a.pg_edges(spark, sf).filter("kind in ('IN_NATION', 'IN_REGION')"), center, 3, 40)[0]
 
 
+@query(a.sql(f"{_CAPPED} SELECT pe.* FROM pe WHERE source_id IN (SELECT n FROM s3) AND target_id IN (SELECT n FROM s3) AND (source_id IN (SELECT n FROM s2) OR target_id IN (SELECT n FROM s2))", "nodes", "links", "edges"))
+def neighbourhood_edges(spark, sf):
+    center = spark.range(1).select(a.node_id("nation", F.lit("3"))).first()[0]
+    return closure.neighbourhood(a.pg_nodes(spark, sf), a.pg_edges(spark, sf).filter("kind in ('IN_NATION', 'IN_REGION')"), center, 3, 40)[1]
+
+
 @query(a.sql(", r(node) AS (SELECT name FROM tree WHERE base = 3 UNION SELECT t.name FROM r JOIN tree t ON t.base = r.node) SELECT node FROM r", "tree", recursive=True))
 def descendants(spark, sf):
     return closure.descendants(a.tree(spark, sf), 3)
@@ -155,39 +171,32 @@ def ancestor_chain(spark, sf):
     return closure.ancestor_chain(a.tree(spark, sf), 98)
 
 
-@query(
-    a.sql(
-        """, w(start, node, path) AS (SELECT src, dst, [src] FROM ring UNION ALL SELECT w.start, e.dst, list_append(w.path, w.node) FROM w JOIN ring e ON e.src = w.node WHERE w.node <> w.start AND w.node > w.start AND len(w.path) < 99)
-SELECT array_to_string(list_append(path, start), '>') AS cycle FROM w WHERE node = start""",
-        "ring",
-        recursive=True,
-    )
-)
+# a node has at most two ways out and blocks are joined one way only, so cycles lie inside blocks of ten
+_WALK = ", w(start, node, path) AS (SELECT src, dst, [src] FROM ring UNION ALL SELECT w.start, e.dst, list_append(w.path, w.node) FROM w JOIN ring e ON e.src = w.node WHERE w.node <> w.start AND w.node > w.start AND len(w.path) < 12 AND left(e.dst, 12) = left(w.start, 12))"
+
+
+@query(a.sql(f"{_WALK} SELECT array_to_string(list_append(path, start), '>') AS cycle FROM w WHERE node = start", "ring", recursive=True))
 def cycles_exact(spark, sf):
     return cycles.cycles(a.ring(spark, sf)).select(F.array_join("cycle", ">").alias("cycle"))
 
 
-@query(
-    a.sql(
-        """, w(start, node, n) AS (SELECT src, dst, 1 FROM ring UNION ALL SELECT w.start, e.dst, n + 1 FROM w JOIN ring e ON e.src = w.node WHERE w.node <> w.start AND n < 99),
-c AS (SELECT start FROM w WHERE node = start), m(node, seen) AS (SELECT start, start FROM c UNION SELECT m.node, e.dst FROM m JOIN ring e ON e.src = m.seen)
-SELECT node, min(seen) AS component FROM m GROUP BY 1""",
-        "ring",
-        recursive=True,
-    )
-)
+@query(a.sql(f"{_WALK}, c AS (SELECT start, path FROM w WHERE node = start) SELECT DISTINCT unnest(path) AS node, start AS component FROM c", "ring", recursive=True))
 def scc_members(spark, sf):
     return cycles.scc_members(a.ring(spark, sf))
 
 
-@query(a.sql(", r(node) AS (SELECT 'c00001' UNION SELECT e.dst FROM r JOIN ring e ON e.src = r.node) SELECT node FROM r", "ring", recursive=True))
+_CALLS = "calls AS (SELECT DISTINCT user_id AS owner, CAST(user_id * 7 + event_id % 3 AS BIGINT) % 1000 AS callee FROM events)"
+
+
+@query(f"WITH RECURSIVE {_CALLS}, r(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT c.callee FROM r JOIN calls c ON c.owner = r.node) SELECT node FROM r")
 def call_reachability(spark, sf):
-    return closure.reach(a.ring(spark, sf), spark.createDataFrame([("c00001",)], "node string")).select("node")
+    e = a.read(spark, sf, "events").select(F.col("user_id").cast("long").alias("src"), ((F.col("user_id") * 7 + F.col("event_id") % 3).cast("long") % 1000).alias("dst"))
+    return closure.reach(e, spark.createDataFrame([(1,)], "node long")).select("node")
 
 
 @query(
     a.sql(
-        """, up(name, a_t, d) AS (SELECT name, name, 0 FROM tree UNION ALL SELECT u.name, t.base, u.d + 1 FROM up u JOIN tree t ON t.name = u.a_t WHERE u.d < 20),
+        """, up(name, a_t, d) AS (SELECT name, name, 0 FROM tree UNION ALL SELECT u.name, t.base, u.d + 1 FROM up u JOIN tree t ON t.name = u.a_t),
 v AS (SELECT c_custkey AS name, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS value, c_custkey % 3 AS item FROM customer)
 SELECT u.name, arg_min(v.value, u.d) FILTER (WHERE v.value IS NOT NULL) AS value, count(DISTINCT v.item) AS items FROM up u JOIN v ON v.name = u.a_t GROUP BY 1""",
         "tree",
@@ -277,27 +286,28 @@ def graph_diff_nodes(spark, sf):
     )
 )
 def graph_diff_relations(spark, sf):
-    triple = lambda d: d.select(F.col("canonical_key").alias("source_key"), F.lit("ORDERED_BY").alias("kind"), F.concat(F.lit("p|customer|"), F.col("o_custkey").cast("string")).alias("target_key")).distinct()
+    def triples(d):  # relation_triples joins the ends of a relation table with a node table
+        nodes = d.select("canonical_key").unionByName(d.select(F.concat(F.lit("p|customer|"), F.col("o_custkey").cast("string")).alias("canonical_key"))).distinct().withColumn("node_id", F.xxhash64("canonical_key"))
+        rel = d.select(F.xxhash64("canonical_key").alias("source_id"), F.lit("ORDERED_BY").alias("kind"), F.xxhash64(F.concat(F.lit("p|customer|"), F.col("o_custkey").cast("string"))).alias("target_id"))
+        return integrity.relation_triples(nodes, rel)
+
     old, new = a.snapshots(spark, sf)
-    return integrity.diff_relations(triple(old), triple(new))
+    return integrity.diff_relations(triples(old), triples(new))
 
 
 @query(a.sql("SELECT canonical_key FROM new EXCEPT SELECT canonical_key FROM old", "old", "new"))
 def keys_added(spark, sf):
-    old, new = a.snapshots(spark, sf)
-    return new.select("canonical_key").join(old, "canonical_key", "left_anti").distinct()
+    return integrity.key_sets(*a.snapshots(spark, sf), "canonical_key").filter("change = 'added'").select("canonical_key")
 
 
 @query(a.sql("SELECT canonical_key FROM old EXCEPT SELECT canonical_key FROM new", "old", "new"))
 def keys_removed(spark, sf):
-    old, new = a.snapshots(spark, sf)
-    return old.select("canonical_key").join(new, "canonical_key", "left_anti").distinct()
+    return integrity.key_sets(*a.snapshots(spark, sf), "canonical_key").filter("change = 'removed'").select("canonical_key")
 
 
 @query(a.sql("SELECT canonical_key FROM old INTERSECT SELECT canonical_key FROM new", "old", "new"))
 def keys_common(spark, sf):
-    old, new = a.snapshots(spark, sf)
-    return old.select("canonical_key").join(new, "canonical_key", "left_semi").distinct()
+    return integrity.key_sets(*a.snapshots(spark, sf), "canonical_key").filter("change = 'common'").select("canonical_key")
 
 
 @query("SELECT o_custkey AS node_id, arg_min(o_orderstatus, o_orderkey) AS name, coalesce(arg_max(o_orderpriority, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 0), '') AS note FROM orders GROUP BY 1")
@@ -313,13 +323,13 @@ def relation_first_wins(spark, sf):
 
 
 @query(
-    "WITH r AS (SELECT DISTINCT l_orderkey || '>' || l_partkey AS relation_id, l_orderkey AS s, l_partkey AS t FROM lineitem WHERE l_orderkey % 5 < 2), e AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 1) SELECT r.relation_id, 'local:order:' || r.s AS source_id, 'local:part:' || r.t AS target_id FROM r JOIN e ON e.k = r.s JOIN part ON p_partkey = r.t"
+    "WITH r AS (SELECT DISTINCT l_orderkey || '>' || l_partkey AS relation_id, l_orderkey AS s, l_partkey AS t FROM lineitem), e AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F') SELECT r.relation_id, 'local:order:' || r.s AS source_id, 'local:part:' || r.t AS target_id FROM r JOIN e ON e.k = r.s JOIN part ON p_partkey = r.t"
 )
 def id_remap_import(spark, sf):
-    li = a.read(spark, sf, "lineitem").filter("l_orderkey % 5 < 2").select("l_orderkey", "l_partkey").distinct()
+    li = a.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
     s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     relations = li.select(F.concat_ws(">", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("relation_id"), s("o:", "l_orderkey").alias("source_id"), F.lit("CONTAINS").alias("kind"), s("p:", "l_partkey").alias("target_id"))
-    orders = a.read(spark, sf, "orders").filter("o_orderkey % 5 = 1").select(s("o:", "o_orderkey").alias("foreign_id"), s("local:order:", "o_orderkey").alias("local_id"))
+    orders = a.read(spark, sf, "orders").filter("o_orderstatus <> 'F'").select(s("o:", "o_orderkey").alias("foreign_id"), s("local:order:", "o_orderkey").alias("local_id"))
     parts = a.read(spark, sf, "part").select(s("p:", "p_partkey").alias("foreign_id"), s("local:part:", "p_partkey").alias("local_id"))
     none = spark.createDataFrame([], "relation_id string, detail string")
     return integrity.import_graph(relations, relations, none, orders.unionByName(parts))[0].select("relation_id", "source_id", "target_id")

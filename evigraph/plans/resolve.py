@@ -41,14 +41,14 @@ def overlay_alternates(spark, sf):
     return resolve.overlay(_offers(spark, sf)).select("key", F.size("alternates").cast("long").alias("n"), F.array_join("alternates", ",").alias("alternates"))
 
 
-_DECLARED = "d AS (SELECT 'C' || o_custkey AS name FROM orders WHERE o_orderkey % 7 = 0), u AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'C' || c_custkey FROM customer WHERE c_custkey % 5 = 0)"
+_DECLARED = "d AS (SELECT 'C' || o_custkey AS name FROM orders), u AS (SELECT 'c' || c_custkey AS name FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 'C' || c_custkey FROM customer WHERE c_acctbal < 1000)"
 
 
 def _declared(spark, sf):
     s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("name")
-    d = a.read(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(s("C", "o_custkey"))
+    d = a.read(spark, sf, "orders").select(s("C", "o_custkey"))
     c = a.read(spark, sf, "customer")
-    return d, c.filter("c_custkey % 3 <> 0").select(s("c", "c_custkey")).unionByName(c.filter("c_custkey % 5 = 0").select(s("C", "c_custkey")))
+    return d, c.filter("c_mktsegment <> 'BUILDING'").select(s("c", "c_custkey")).unionByName(c.filter("c_acctbal < 1000").select(s("C", "c_custkey")))
 
 
 @query(
@@ -92,11 +92,13 @@ def deepest_owner(spark, sf):
     return resolve.deepest_owner(p, host.union(two)).select("page_id", "owner")
 
 
-_PAIRS = "e AS (SELECT DISTINCT l_orderkey AS header, l_partkey + 100000000 AS source FROM lineitem WHERE l_orderkey % 11 = 0 AND l_partkey % 6 = 0)"
+# an order beside its cheapest and its dearest part
+_PAIRS = "e AS (SELECT l_orderkey AS header, min(l_partkey) + 100000000 AS source FROM lineitem GROUP BY 1 UNION SELECT l_orderkey, max(l_partkey) + 100000000 FROM lineitem GROUP BY 1)"
 
 
 def _pairs(spark, sf):
-    return a.read(spark, sf, "lineitem").filter("l_orderkey % 11 = 0 and l_partkey % 6 = 0").select(F.col("l_orderkey").alias("header"), (F.col("l_partkey") + 100000000).alias("source")).distinct()
+    ends = a.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("header")).agg(F.array(F.min("l_partkey"), F.max("l_partkey")).alias("s"))
+    return ends.select("header", F.explode("s").alias("s")).select("header", (F.col("s") + 100000000).alias("source")).distinct()
 
 
 @query(f"WITH {_PAIRS} SELECT header, source FROM e WHERE header IN (SELECT header FROM e GROUP BY 1 HAVING count(*) = 1) AND source IN (SELECT source FROM e GROUP BY 1 HAVING count(*) = 1)")
@@ -104,9 +106,9 @@ def pairing(spark, sf):
     return resolve.pairing(_pairs(spark, sf)).select("header", "source")
 
 
-@query(f"WITH {_PAIRS} SELECT o_orderkey AS path FROM orders WHERE o_orderkey % 11 <= 1 AND o_orderkey NOT IN (SELECT header FROM e) AND o_orderkey NOT IN (SELECT source FROM e)")
+@query(f"WITH {_PAIRS} SELECT o_orderkey AS path FROM orders WHERE o_orderkey NOT IN (SELECT header FROM e) UNION ALL SELECT p_partkey + 100000000 FROM part WHERE p_partkey + 100000000 NOT IN (SELECT source FROM e)")
 def pair_leftovers(spark, sf):
-    files = a.read(spark, sf, "orders").filter("o_orderkey % 11 <= 1").select(F.col("o_orderkey").alias("path"))
+    files = a.read(spark, sf, "orders").select(F.col("o_orderkey").alias("path")).unionByName(a.read(spark, sf, "part").select((F.col("p_partkey") + 100000000).alias("path")))
     return resolve.pair_leftovers(files, _pairs(spark, sf))
 
 
@@ -131,14 +133,14 @@ def applicability(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT l_partkey AS usr, CASE l_returnflag WHEN 'N' THEN 'declaration' WHEN 'R' THEN 'definition' ELSE 'inline' END AS role FROM lineitem WHERE l_orderkey % 40 = 0),
+    """WITH r AS (SELECT l_orderkey AS usr, CASE l_returnflag WHEN 'N' THEN 'declaration' WHEN 'R' THEN 'definition' ELSE 'inline' END AS role FROM lineitem),
 c AS (SELECT usr, count(*) FILTER (WHERE role = 'declaration') AS declarations, count(*) FILTER (WHERE role = 'definition') AS definitions, count(*) FILTER (WHERE role = 'inline') AS inlines FROM r GROUP BY 1)
 SELECT *, CASE WHEN definitions + inlines > 1 OR declarations > 1 THEN 'ambiguous' WHEN declarations = 1 AND definitions = 1 THEN 'matched' WHEN inlines = 1 THEN 'inline_definition' WHEN definitions = 1 THEN 'source_only' ELSE 'declaration_only' END AS status FROM c"""
 )
 def decl_def_relation(spark, sf):
-    li = a.read(spark, sf, "lineitem").filter("l_orderkey % 40 = 0")
+    li = a.read(spark, sf, "lineitem")
     role = F.when(F.col("l_returnflag") == "N", "declaration").when(F.col("l_returnflag") == "R", "definition").otherwise("inline")
-    return resolve.declaration_relation(li.select(F.col("l_partkey").alias("usr"), role.alias("role")))
+    return resolve.declaration_relation(li.select(F.col("l_orderkey").alias("usr"), role.alias("role")))
 
 
 @query(
@@ -154,9 +156,9 @@ def property_delta(spark, sf):
     return out.select("canonical_key", "comparison")
 
 
-@query("SELECT name, min(value) AS value FROM (SELECT o_custkey AS name, o_orderpriority AS value FROM orders WHERE o_orderkey % 9 = 0) GROUP BY 1 HAVING min(value) = max(value)")
+@query("SELECT name, min(value) AS value FROM (SELECT o_custkey || ':' || o_orderdate AS name, o_orderpriority AS value FROM orders) GROUP BY 1 HAVING min(value) = max(value)")
 def unique_global_values(spark, sf):
-    o = a.read(spark, sf, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("value"))
+    o = a.read(spark, sf, "orders").select(F.concat_ws(":", F.col("o_custkey").cast("string"), F.col("o_orderdate").cast("string")).alias("name"), F.col("o_orderpriority").alias("value"))
     return resolve.unique_values(o)
 
 
@@ -188,16 +190,16 @@ def scope_resolution(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS owner, l_partkey AS name, l_returnflag AS ns FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_orderkey % 20 = 0)),
-m AS (SELECT DISTINCT l_suppkey AS owner, l_partkey AS name FROM lineitem WHERE l_orderkey % 20 = 1), f AS (SELECT p_partkey AS name FROM part WHERE p_partkey % 2 = 0)
+    """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS owner, l_partkey AS name, l_returnflag AS ns FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag FROM lineitem)),
+m AS (SELECT DISTINCT l_suppkey AS owner, l_partkey AS name FROM lineitem WHERE l_quantity < 10), f AS (SELECT p_partkey AS name FROM part WHERE p_size < 25)
 SELECT call_id, c.owner, c.name, CASE WHEN m.owner IS NOT NULL THEN 'method' WHEN f.name IS NOT NULL AND ns = 'N' THEN 'function' ELSE 'unknown' END AS kind FROM c LEFT JOIN m ON m.owner = c.owner AND m.name = c.name LEFT JOIN f ON f.name = c.name"""
 )
 def call_targets(spark, sf):
     li = a.read(spark, sf, "lineitem")
-    calls = li.filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag").distinct()
+    calls = li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag").distinct()
     calls = calls.select(F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("c"), F.col("l_suppkey").alias("o"), F.col("l_partkey").alias("n")).alias("call_id"), F.col("l_suppkey").alias("owner_type"), F.col("l_partkey").alias("name"), F.col("l_returnflag").alias("namespace"))
-    methods = li.filter("l_orderkey % 20 = 1").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("name")).distinct().withColumn("id", F.col("name"))
-    functions = a.read(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.lit("N").alias("namespace"), F.col("p_partkey").alias("name"), F.col("p_partkey").alias("id"))
+    methods = li.filter("l_quantity < 10").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("name")).distinct().withColumn("id", F.col("name"))
+    functions = a.read(spark, sf, "part").filter("p_size < 25").select(F.lit("N").alias("namespace"), F.col("p_partkey").alias("name"), F.col("p_partkey").alias("id"))
     out = resolve.call_targets(calls, methods, functions)
     return out.select(F.col("call_id.c").alias("call_id"), F.col("call_id.o").alias("owner"), F.col("call_id.n").alias("name"), "kind")
 
@@ -220,12 +222,13 @@ def include_resolution(spark, sf):
 
 
 @query(
-    "SELECT c.name, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = k AND o_orderkey % 50 = 0) THEN 'project' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = k AND o_orderkey % 50 = 1) THEN 'engine' ELSE 'missing' END AS found FROM (SELECT c_custkey AS k, 'C' || c_custkey AS name FROM customer) c"
+    "SELECT 'C' || c_custkey AS name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'project' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'engine' ELSE 'missing' END AS found FROM customer"
 )
 def declared_files(spark, sf):
     name = lambda c: F.concat(F.lit("C"), F.col(c).cast("string")).alias("name")
     o = a.read(spark, sf, "orders")
-    return resolve.declared_files(a.read(spark, sf, "customer").select(name("c_custkey")), o.filter("o_orderkey % 50 = 0").select(name("o_custkey")), o.filter("o_orderkey % 50 = 1").select(name("o_custkey"))).select("name", "found")
+    of = lambda status: o.filter(F.col("o_orderstatus") == status).select(name("o_custkey"))
+    return resolve.declared_files(a.read(spark, sf, "customer").select(name("c_custkey")), of("P"), of("F")).select("name", "found")
 
 
 _SERVERS = """s AS (SELECT s_suppkey AS k, 'srv' || s_suppkey AS server_id, s_suppkey % 4 <> 0 AS healthy, CASE WHEN s_suppkey % 3 = 0 THEN 'asset_list,blueprint_read' WHEN s_suppkey % 3 = 1 THEN 'asset_list' ELSE 'other' END AS tools, CASE WHEN s_suppkey % 5 = 0 THEN '5.' || (s_suppkey % 2) || '.1' END AS v FROM supplier)"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import fold, graph, resolve
+from ..operators import filegraph, fold, graph, resolve, upsert
+from ..sources import sinks
 from . import adapters as a
 
 QUERIES: dict = {}
@@ -50,10 +51,10 @@ def running_section(spark, sf):
     return fold.running_section(a.lines(spark, sf), F.when(n % 3 == 0, n), "doc_id").select("doc_id", "line", "section")
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE value > 50) AS last_high, max(event_id) AS last_event FROM events GROUP BY 1")
+@query("SELECT user_id, coalesce(arg_max(event_type, event_id) FILTER (WHERE value > 50), '') AS last_high FROM events GROUP BY 1")
 def last_observed(spark, sf):
-    e = a.read(spark, sf, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.when(F.col("value") > 50, F.col("event_id"))).alias("last_high"), F.max("event_id").alias("last_event"))
+    e = a.read(spark, sf, "events").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("seq"), F.when(F.col("value") > 50, F.col("event_type")).otherwise("").alias("last_high"))
+    return upsert.upsert_nodes(e, first=(), last=("last_high",)).withColumnRenamed("node_id", "user_id")
 
 
 @query("SELECT lower(o_orderpriority) || '|' || o_custkey AS key, count(*) AS n, arg_min(o_orderkey, o_orderkey) AS first FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -68,28 +69,45 @@ def ordered_distinct(spark, sf):
     return fold.ordered_distinct(e, "user_id", "event_type").select("user_id", F.array_join("values", ",").alias("types"))
 
 
-_HREF = r'href="(/[^"]*)"'
+# an object path: a slash, a name, a slash, and on to a quote, blank, comma or bracket; class by its root
+_REFS = r"""x AS (SELECT page_id, list_transform(regexp_extract_all(html, '/[A-Za-z_][A-Za-z0-9_]*/[^''\s,)\]]+'), lambda p: regexp_replace(regexp_replace(p, '"+$', ''), '\\', '/', 'g')) AS ps FROM pages),
+r AS (SELECT DISTINCT page_id, CASE WHEN starts_with(p, '/Script/') THEN 'class' ELSE 'asset' END AS kind, p AS target FROM (SELECT page_id, unnest(ps) AS p FROM x))"""
 
 
-@query(f"SELECT page_id, len(x) AS n, array_to_string(list_sort(list_distinct(x)), ' ') AS targets FROM (SELECT page_id, regexp_extract_all(html, '{_HREF}', 1) AS x FROM pages)")
+@query(f"WITH {_REFS} SELECT page_id, count(target) AS n, coalesce(string_agg(kind || ' ' || target, chr(10) ORDER BY kind, target), '') AS targets FROM pages LEFT JOIN r USING (page_id) GROUP BY 1")
 def refs_extract(spark, sf):
-    x = F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))
-    return a.read(spark, sf, "pages").select("page_id", F.size(x).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(x)), " ").alias("targets"))
+    found = a.read(spark, sf, "pages").select("page_id", t.references(F.col("html")).alias("r"))
+    return found.select("page_id", F.size("r").cast("long").alias("n"), F.array_join(F.transform("r", lambda x: F.concat_ws(" ", x["kind"], x["target"])), "\n").alias("targets"))
 
 
-@query(f"SELECT target, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS target FROM pages) GROUP BY 1")
+@query(f"WITH {_REFS} SELECT kind, target, count(*) AS pages FROM r GROUP BY 1, 2")
 def refs_unique(spark, sf):
-    x = a.read(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)))).alias("target"))
-    return x.groupBy("target").agg(F.count("*").alias("pages"))  # distinct within a page already
+    x = a.read(spark, sf, "pages").select(F.explode(t.references(F.col("html"))).alias("r"))
+    return x.groupBy("r.kind", "r.target").agg(F.count("*").alias("pages"))  # distinct within a page already
+
+
+_TAGGED = "x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '(TagName=\"A.' || event_type || '\")' WHEN 1 THEN 'BlueprintGeneratedClass''/Game/' || event_type || '/U' || user_id || '_C'' GameplayTag = \" T' || user_id || ' \"' WHEN 2 THEN 'Texture2D''/Game/T/' || user_id || '.T:S'', /Script/M.' || event_type ELSE event_type END AS v FROM events)"
+
+
+@query(f"""WITH {_TAGGED} SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'gameplay_tag A.' || event_type WHEN 1 THEN 'class /Game/' || event_type || '/U' || user_id || '_C;gameplay_tag T' || user_id WHEN 2 THEN 'asset /Game/T/' || user_id || '.T:S;class /Script/M.' || event_type ELSE '' END AS refs FROM x JOIN events USING (event_id)""")
+def value_references(spark, sf):
+    k, user, kind = F.col("event_id") % 4, F.col("user_id").cast("string"), F.col("event_type")
+    v = F.when(k == 0, F.concat(F.lit('(TagName="A.'), kind, F.lit('")'))).when(k == 1, F.concat(F.lit("BlueprintGeneratedClass'/Game/"), kind, F.lit("/U"), user, F.lit("_C' GameplayTag = \" T"), user, F.lit(' "'))).when(k == 2, F.concat(F.lit("Texture2D'/Game/T/"), user, F.lit(".T:S', /Script/M."), kind)).otherwise(kind)
+    return a.read(spark, sf, "events").select("event_id", F.array_join(F.transform(t.references(v), lambda x: F.concat_ws(" ", x["kind"], x["target"])), ";").alias("refs"))
+
+
+_IGNORED = "bool char double float int long short void auto size_t FName FString FText FVector FRotator FTransform FGameplayTag TArray TMap TSet TObjectPtr TWeakObjectPtr TSoftObjectPtr TSoftClassPtr TSubclassOf TSharedPtr TSharedRef TWeakPtr TOptional std"
 
 
 @query(
-    r"""SELECT item_id, array_to_string(list_filter(list_distinct_ordered, x -> true), ',') AS names FROM (SELECT item_id, [v FOR v, i IN l IF list_position(l, v) = i] AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)*)', 1), lambda n: regexp_matches(n, '^[A-Z]')) AS l FROM benchmark))""".replace(
-        "list_filter(list_distinct_ordered, x -> true)", "list_distinct_ordered"
-    ).replace("[v FOR v, i IN l IF list_position(l, v) = i]", "list_filter(l, lambda v, i: list_position(l, v) = i)")
+    f"""WITH x AS (SELECT p_partkey, 'const TArray<N::' || replace(p_name, ' ', '*, ') || '>& ' || CASE p_partkey % 4 WHEN 0 THEN 'TSoftObjectPtr<FVector> UThing' WHEN 1 THEN 'std::Map<A::B, Thing> class Thing' ELSE 'TOptional<Other> _low' END AS e FROM part),
+y AS (SELECT p_partkey, list_filter(list_transform(regexp_extract_all(regexp_replace(e, '\\b(?:class|struct|enum|const|volatile|typename)\\b', ' ', 'g'), '[A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)*'), lambda n: string_split(n, '::')[-1]), lambda n: n NOT IN ({', '.join(repr(w) for w in _IGNORED.split())}) AND NOT regexp_matches(n, '^[a-z]')) AS l FROM x)
+SELECT p_partkey, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ',') AS names FROM y"""
 )
 def type_names(spark, sf):
-    return a.read(spark, sf, "benchmark").select("item_id", F.array_join(t.type_names(F.col("text")), ",").alias("names"))
+    k = F.col("p_partkey") % 4
+    e = F.concat(F.lit("const TArray<N::"), F.replace("p_name", F.lit(" "), F.lit("*, ")), F.lit(">& "), F.when(k == 0, "TSoftObjectPtr<FVector> UThing").when(k == 1, "std::Map<A::B, Thing> class Thing").otherwise("TOptional<Other> _low"))
+    return a.read(spark, sf, "part").select("p_partkey", F.array_join(t.type_names(e), ",").alias("names"))
 
 
 @query(a.sql("SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE trim(text) = '') AS blank, max(line) AS last FROM lines GROUP BY 1", "lines"))
@@ -97,9 +115,9 @@ def line_evidence(spark, sf):
     return a.lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.trim("text") == "").alias("blank"), F.max("line").cast("long").alias("last"))
 
 
-@query("SELECT doc_id, coalesce((SELECT min(i) FROM (SELECT unnest(range(1, len(x) + 1)) AS i, unnest(x) AS s) WHERE contains(s, '\"')), 1) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, 'token', '\"token\"', 'g'), chr(10)) AS x FROM documents)".replace("contains(s, '\"')", "contains(s, '\"token\"')"))
+@query("WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, 'token', '\"token\"') ELSE replace(text, 'token', chr(39) || 'token' || chr(39)) END AS text FROM documents) SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce((SELECT min(i) FROM (SELECT unnest(range(1, len(s) + 1)) AS i, unnest(s) AS l) WHERE regexp_matches(l, '[\"' || chr(39) || ']token[\"' || chr(39) || ']')), 1) END AS line FROM (SELECT doc_id, text, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS s FROM x)")
 def literal_line(spark, sf):
-    text = F.regexp_replace("text", "token", '"token"')
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("token"), F.lit('"token"'))).otherwise(F.replace("text", F.lit("token"), F.lit("'token'")))
     return a.read(spark, sf, "documents").select("doc_id", t.literal_line(text, F.lit("token")).cast("long").alias("line"))
 
 
@@ -111,37 +129,64 @@ def json_field_paths(spark, sf):
     return field_paths(e, "event_id", "props")
 
 
-@query(a.sql("SELECT page_id, CASE WHEN path NOT LIKE '%/%' THEN 'unclassified' WHEN lower(split_part(path, '/', 2)) IN ('en', 'de') THEN 'known' ELSE 'unclassified' END AS role FROM paths", "paths"))
+_ENTRIES = """e AS (SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'Config' WHEN 1 THEN 'content' WHEN 2 THEN 'Source' WHEN 3 THEN 'Plugins' WHEN 4 THEN 'Binaries' WHEN 5 THEN 'Saved' WHEN 6 THEN 'Game.uproject' ELSE url END AS name, page_id % 5 <> 0 AS is_dir FROM pages),
+k AS (SELECT *, CASE lower(name) WHEN 'config' THEN 'configuration' WHEN 'content' THEN 'content' WHEN 'source' THEN 'source' WHEN 'plugins' THEN 'plugins' WHEN 'binaries' THEN 'build' WHEN 'saved' THEN 'cache' ELSE CASE WHEN lower(name) LIKE '%.uproject' THEN 'descriptor' END END AS role FROM e)"""
+
+
+def _entries(spark, sf):
+    k = F.col("page_id") % 12
+    name = F.col("url")
+    for i, n in reversed(list(enumerate(("Config", "content", "Source", "Plugins", "Binaries", "Saved", "Game.uproject")))):
+        name = F.when(k == i, n).otherwise(name)
+    return a.read(spark, sf, "pages").select("page_id", name.alias("name"), (F.col("page_id") % 5 != 0).alias("is_dir"))
+
+
+@query(f"WITH {_ENTRIES} SELECT page_id, role FROM k")
 def path_roles(spark, sf):
-    roles = spark.createDataFrame([("en", "known"), ("de", "known")], "segment string, role string")
-    p = a.url_paths(spark, sf).withColumn("segment", F.lower(F.get(F.split("path", "/"), F.lit(1))))
-    return p.join(F.broadcast(roles), "segment", "left").select("page_id", F.coalesce("role", F.lit("unclassified")).alias("role"))
+    return filegraph.classify_paths(_entries(spark, sf))[0].select("page_id", "role")
 
 
-@query(
-    "WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Public/' WHEN 1 THEN 'Private/sub/' WHEN 2 THEN 'other/' ELSE '' END || p_name || '.h' AS path FROM part) SELECT p_partkey, CASE WHEN contains(path, '/') AND lower(split_part(path, '/', 1)) IN ('public', 'classes', 'private') THEN lower(split_part(path, '/', 1)) ELSE 'unclassified' END AS visibility, 'header' AS kind FROM x"
-)
+@query(f"WITH {_ENTRIES} SELECT CASE WHEN bad AND role NOT IN ('build', 'cache') THEN 'error' ELSE 'warning' END AS severity, CASE WHEN bad THEN 'project-path-type-mismatch' ELSE 'unclassified-project-root-directory' END AS code, name AS subject FROM (SELECT *, coalesce((role = 'descriptor') = is_dir, false) AS bad FROM k) WHERE bad OR (role IS NULL AND is_dir)")
+def path_problems(spark, sf):
+    return filegraph.classify_paths(_entries(spark, sf))[1]
+
+
+_PATHS = "x AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Public/' WHEN 1 THEN 'Private/sub/' WHEN 2 THEN 'other/' WHEN 3 THEN 'CLASSES/' WHEN 4 THEN 'Src/Intermediate/' ELSE '' END || p_name || CASE p_partkey % 11 WHEN 0 THEN '.h' WHEN 1 THEN '.HXX' WHEN 2 THEN '.ipp' WHEN 3 THEN '.mm' WHEN 4 THEN '.c' WHEN 5 THEN '.Generated.h' WHEN 6 THEN '.autogen.cc' WHEN 7 THEN '.gen.cpp' WHEN 8 THEN '.gen.txt' WHEN 9 THEN '.inl' ELSE '.g.cs' END AS path FROM part)"
+
+
+def _file_paths(spark, sf):
+    k, e = F.col("p_partkey") % 6, F.col("p_partkey") % 11
+    head, tail = F.lit(""), F.lit(".g.cs")
+    for i, h in enumerate(("Public/", "Private/sub/", "other/", "CLASSES/", "Src/Intermediate/")):
+        head = F.when(k == i, h).otherwise(head)
+    for i, x in enumerate((".h", ".HXX", ".ipp", ".mm", ".c", ".Generated.h", ".autogen.cc", ".gen.cpp", ".gen.txt", ".inl")):
+        tail = F.when(e == i, x).otherwise(tail)
+    return a.read(spark, sf, "part").select("p_partkey", F.concat(head, F.col("p_name"), tail).alias("path"))
+
+
+@query(f"WITH {_PATHS} SELECT p_partkey, CASE WHEN lower(path) LIKE 'public/%' OR lower(path) LIKE 'classes/%' THEN 'public' WHEN lower(path) LIKE 'private/%' THEN 'private' ELSE 'unclassified' END AS visibility, CASE WHEN regexp_matches(lower(path), '\\.(h|hh|hpp|hxx|inl|ipp)$') THEN 'header' WHEN regexp_matches(lower(path), '\\.(cpp|cc|cxx|mm)$') THEN 'source' ELSE 'other' END AS kind FROM x")
 def visibility(spark, sf):
-    k = F.col("p_partkey") % 4
-    path = F.concat(F.when(k == 0, "Public/").when(k == 1, "Private/sub/").when(k == 2, "other/").otherwise(""), F.col("p_name"), F.lit(".h"))
-    return a.read(spark, sf, "part").select("p_partkey", t.visibility(path).alias("visibility"), t.source_kind(path).alias("kind"))
+    return _file_paths(spark, sf).select("p_partkey", t.visibility(F.col("path")).alias("visibility"), t.source_kind(F.col("path")).alias("kind"))
 
 
-@query("SELECT p_partkey, p_partkey % 3 = 0 AS generated, p_partkey % 5 = 0 AS skipped FROM part")
+@query(f"WITH {_PATHS} SELECT p_partkey, p_partkey % 11 IN (5, 6, 7) AS generated, p_partkey % 6 = 4 AS skipped FROM x")
 def generated_filter(spark, sf):
-    k = F.col("p_partkey")
-    path = F.concat(F.when(k % 5 == 0, "Src/Intermediate/x/").otherwise("Src/x/"), F.col("p_name"), F.when(k % 3 == 0, ".GENERATED.h").otherwise(".h"))
-    return a.read(spark, sf, "part").select("p_partkey", t.is_generated(t.leaf(path)).alias("generated"), t.in_skipped(path).alias("skipped"))
+    return _file_paths(spark, sf).select("p_partkey", t.is_generated(t.leaf(F.col("path"))).alias("generated"), t.in_skipped(F.col("path")).alias("skipped"))
+
+
+def _contents(spark, sf):
+    d = a.read(spark, sf, "documents")
+    return d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("rel"), F.encode("text", "UTF-8").alias("content"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, length(text) AS n_chars FROM documents")
+@query("SELECT source || '/' || doc_id AS rel, sha256(text) AS sha256, strlen(text) AS bytes FROM documents")
 def fingerprint(spark, sf):
-    return a.read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("n_chars"))
+    return sinks.fingerprint(_contents(spark, sf))[0]
 
 
-@query("SELECT source, count(*) AS file_count, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+@query("SELECT source AS top, count(*) AS file_count, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def dir_rollup(spark, sf):
-    return a.read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("file_count"), F.sum("n_chars").alias("bytes"))
+    return sinks.fingerprint(_contents(spark, sf))[1]
 
 
 @query(

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import numbered
 from ..functions.text import references
 from ..operators.messages import channel_status, classify
 
@@ -79,11 +80,28 @@ def tag_referencers(rows: DataFrame) -> DataFrame:
 
 
 def message_nodes(rows: DataFrame) -> DataFrame:
-    """Message operations of nodes (asset, graph, node, node_class, function, connections, tag): others are left out."""
-    out = rows.withColumn("operation", classify(F.col("node_class"), F.col("function"))).filter("operation is not null")
+    """Message operations of nodes (asset, graph, node, node_class, type_id, inputs array of pin names, self_title, connections, tag): others are left out."""
+    out = rows.withColumn("operation", classify(F.col("node_class"), F.col("inputs"), F.col("self_title"), F.col("type_id"))).filter("operation is not null")
     return out.withColumn("channel_status", channel_status(F.col("connections"), F.col("tag")))
 
 
+def message_summary(operations: DataFrame, scanned: DataFrame) -> DataFrame:
+    """One row: distinct scanned assets, operations, and distinct static channels."""
+    c = operations.agg(F.count("*").alias("message_operation_count"), F.countDistinct(F.when(F.col("channel_status") == "static", F.col("tag"))).alias("static_channel_count"))
+    return scanned.agg(F.countDistinct("asset").alias("scanned_asset_count")).join(c)  # a row with a row
+
+
+def in_batches(rows: DataFrame, key: str, size: int, most: int = 200) -> DataFrame:
+    """Rows with the number of the batch of at most ``size`` distinct keys, in folded order, that theirs belongs to. Sizes over ``most`` are errors.
+
+    Keys are numbered by distributed counts of ranges, not in one task.
+    """
+    if not 1 <= size <= most:
+        raise ValueError(f"a batch has 1 to {most} members")
+    keys = numbered(rows.select(key).distinct(), [F.lower(key), F.col(key)], "__n")
+    return rows.join(keys.select(key, F.floor(F.col("__n") / size).cast("long").alias("batch")), key)
+
+
 def primary_assets(rows: DataFrame) -> DataFrame:
     """(type, name, object_path, root): names fall back to the object's leaf; per type its assets and set of roots."""
     name = F.coalesce(F.nullif("name", F.lit("")), F.regexp_extract("object_path", r"([^./]+)$", 1))

@@ -13,7 +13,7 @@ from ..functions.text import in_skipped, leaf
 
 
 def iter_files(spark: SparkSession, root: str, suffixes: list[str] | None = None, names: list[str] | None = None, content: bool = False) -> DataFrame:
-    """(path, length[, content]) of files below ``root`` by suffix or exact name, any case; skipped directories are left out.
+    """(path, length[, content]) of files below ``root`` by suffix or exact name, any case; skipped directories, by exact name, are left out.
 
     The listing is Spark's own, so any file system that it reads will do; contents are read only where asked for.
     """

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import Versions
 from ..operators.integrity import orphans, status
 
 SCHEMA_VERSION = "1"
@@ -15,12 +16,13 @@ TABLES = ("nodes", "edges", "evidence", "warnings")
 
 
 def write_snapshot(path: str, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, warnings: DataFrame) -> None:
-    """A snapshot of four tables and metadata: staged, checked for foreign keys, then renamed into place. A failure leaves nothing."""
+    """A snapshot of four tables and metadata: written beside the one before, checked for foreign keys, then named as the one that counts.
+
+    A failure at any place leaves the snapshot before it.
+    """
     spark = nodes.sparkSession
-    stage = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(stage).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions, name = Versions(spark, path), uuid.uuid4().hex
+    stage = versions.place(name)
     try:
         nodes.write.partitionBy("kind").parquet(f"{stage}/nodes")
         edges.write.partitionBy("kind").parquet(f"{stage}/edges")
@@ -32,26 +34,31 @@ def write_snapshot(path: str, nodes: DataFrame, edges: DataFrame, evidence: Data
             raise ValueError("the snapshot has rows without a parent")
         counts = [(f"{t}_count", str(spark.read.parquet(f"{stage}/{t}").count())) for t in TABLES]
         spark.createDataFrame([("schema_version", SCHEMA_VERSION), *counts], "key string, value string").coalesce(1).write.parquet(f"{stage}/metadata")
-        old = f"{stage}.old"
-        if fs.exists(p(path)):
-            fs.rename(p(path), p(old))
-        if not fs.rename(p(stage), p(path)):
-            raise OSError(f"{path} can't be put in place")
-        fs.delete(p(old), True)
-    finally:
-        fs.delete(p(stage), True)
+        versions.name(name)
+    except BaseException:
+        versions.place(name)
+        raise
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a snapshot of the known version."""
-    meta = dict(map(tuple, spark.read.parquet(f"{path}/metadata").collect()))
+    at = Versions(spark, path).current()
+    if at is None:
+        raise ValueError(f"no snapshot at {path}")
+    meta = dict(map(tuple, spark.read.parquet(f"{at}/metadata").collect()))
     if meta.get("schema_version") != SCHEMA_VERSION:
         raise ValueError(f"snapshot version {meta.get('schema_version')} is not supported")
-    return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
+    return {t: spark.read.parquet(f"{at}/{t}") for t in TABLES}
+
+
+#: Facts and problems that an envelope may hold.
+ENVELOPE = 100_000
 
 
-def envelope(facts: DataFrame, problems: DataFrame, schema_version: str, responsibility: str, boundaries: list[str]) -> dict:
-    """The result document of a tool: sorted facts, validation and limits. Results of tools are small by contract."""
+def envelope(facts: DataFrame, problems: DataFrame, schema_version: str, responsibility: str, boundaries: list[str], most: int = ENVELOPE) -> dict:
+    """The result document of a tool: sorted facts, validation and limits. Results over ``most`` rows are refused; write them as a snapshot."""
+    if max(facts.limit(most + 1).count(), problems.limit(most + 1).count()) > most:
+        raise ValueError(f"a result document has at most {most} facts and problems")
     rows = sorted((json.loads(r[0]) for r in facts.select(F.to_json(F.struct(*facts.columns), {"ignoreNullFields": "false"})).collect()), key=lambda x: json.dumps(x, sort_keys=True))
     found = sorted((r.asDict() for r in problems.collect()), key=lambda x: json.dumps(x, sort_keys=True))
     s = status(problems).first()

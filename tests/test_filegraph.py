@@ -8,11 +8,14 @@ from tests.test_sources import CPP, CS
 
 
 def test_types_and_flow(spark):
-    facts = code.extract(spark.createDataFrame([("a.cpp", CPP), ("b.h", "class UOther {};\nUINTERFACE(x)\nclass IThing : public UInterface {};")], "path string, text string"))
+    header = "class UOther {};\nUINTERFACE()\n\nclass UThingy : public UInterface {};\nclass IThingy {};\nclass INone {};\nUINTERFACE(x)\nclass Plain {};\nUINTERFACE()\nint x;\nclass Far {};"
+    files = spark.createDataFrame([("a.cpp", CPP), ("b.h", header)], "path string, text string")
+    facts = code.extract(files)
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")
     nodes, edges = g.type_graph(facts)
     assert {(r.source, r.target, r.kind) for r in edges.collect()} == {("N::UThing", "UOther", "field_type")}
     assert {r.name: r.base_types for r in nodes.collect()}["N::UThing"] == ["IOther", "UBase"]
-    assert {(r.name, tuple(r.reasons)) for r in g.interface_candidates(facts).collect()} == {("IThing", ("interface_name", "interface_macro", "interface_base"))}
+    assert {(r.name, tuple(r.reasons)) for r in g.interface_candidates(facts, lines).collect()} == {("UThingy", ("UINTERFACE macro", "derives from UInterface")), ("IThingy", ("paired I/U interface naming",))}
     assert [(r.kind, r.name) for r in g.function_flow(facts, "UThing::Act").collect()] == [("control", "if"), ("call", "Helper")]
 
 
@@ -23,7 +26,7 @@ def test_rules_and_receivers(spark):
     calls = spark.createDataFrame([("p", "Log.Add", "M"), ("p", "Go", "M")], "path string, name string, owner string")
     fields = spark.createDataFrame([("p", "Log", "List")], "path string, name string, detail string")
     assert {r.target for r in g.receiver_types(calls, fields).collect()} == {"List.Add", "Go"}
-    refs = spark.createDataFrame([("a.connections[0]",), ("b.class_path",), ("c.value",)], "field string")
+    refs = spark.createDataFrame([("a.connections[0]",), ("b.class_path",), ("c.value",), ("d.connections",)], "field string")
     assert [r.field for r in g.meaningful(refs).collect()] == ["c.value"]
 
 
@@ -47,12 +50,16 @@ def test_plugins_entries_paths(spark):
 
 
 def test_file_graph(spark):
-    files = spark.createDataFrame([(x,) for x in ("G.uproject", "Source/A/A.Build.cs", "Source/B/B.Build.cs", "Source/A/a.cpp", "Source/A/a.h", "Plugins/P/P.uplugin", "Intermediate/x.h", "notes.txt")], "rel string")
+    files = spark.createDataFrame([(x,) for x in ("G.uproject", "Source/A/A.Build.cs", "Source/B/B.Build.cs", "Source/A/a.cpp", "Source/A/a.h", "Plugins/P/P.uplugin", "Intermediate/x.h", "notes.txt", "Source/A/a.gen.cpp", "Source/G.Target.cs", "Source/A/Sub/S.Build.cs", "Source/A/Sub/s.mm")], "rel string")
     plugins = spark.createDataFrame([("G.uproject", "p", True, 4), ("G.uproject", "Gone", False, 5)], "source string, name string, enabled boolean, line int")
-    refs = spark.createDataFrame([("Source/A/A.Build.cs", "b", "DEPENDS_ON_MODULE", 2), ("Source/A/A.Build.cs", "Core", "DEPENDS_ON_MODULE", 2)], "source string, name string, kind string, line int")
+    refs = spark.createDataFrame([("Source/A/A.Build.cs", "b", "DEPENDS_ON_MODULE", 2), ("Source/A/A.Build.cs", "Core", "DEPENDS_ON_MODULE", 2), ("G.uproject", "A", "DECLARES_MODULE", 3)], "source string, name string, kind string, line int")
     inc = spark.createDataFrame([("Source/A/a.cpp", "a.h", "Source/A/a.h", "resolved", 1), ("Source/A/a.cpp", "vector", None, "system_or_sdk_unresolved", 2), ("Source/A/a.cpp", "two.h", None, "ambiguous", 3)], "source string, target string, path string, status string, line int")
-    n, e, v = g.build(files, plugins, refs, inc)
-    assert sorted((r.kind, r.resolution_status) for r in e.collect()) == [("DEPENDS_ON_MODULE", "external"), ("DEPENDS_ON_MODULE", "resolved"), ("DISABLES_PLUGIN", "external"), ("ENABLES_PLUGIN", "resolved"), ("INCLUDES", "resolved"), ("INCLUDES", "system_or_sdk_unresolved")]
+    entries = spark.createDataFrame([("Source/A/A.Build.cs", "source/a/A.cpp", 7), ("Source/A/A.Build.cs", "gone.cpp", 1)], "rules string, source string, line int")
+    n, e, v = g.build(files, plugins, refs, inc, entries)
+    assert sorted((r.kind, r.resolution_status) for r in e.collect()) == [("CONTAINS_FILE", "resolved")] * 3 + [("DECLARES_MODULE", "resolved"), ("DECLARES_TARGET", "resolved"), ("DEPENDS_ON_MODULE", "external"), ("DEPENDS_ON_MODULE", "resolved"), ("DISABLES_PLUGIN", "external"), ("ENABLES_PLUGIN", "resolved"), ("INCLUDES", "resolved"), ("INCLUDES", "system_or_sdk_unresolved"), ("MODULE_ENTRY", "resolved")]
     ends = e.select(F.col("source_id").alias("node_id")).union(e.select("target_id"))
-    assert orphans(ends, "node_id", n, "node_id").isEmpty() and v.count() == 6 and n.count() == 9
-    assert {r.kind for r in n.collect()} == {"project_file", "module_rules_file", "source_file", "plugin_file", "external_plugin", "external_module", "unresolved_include"}
+    assert orphans(ends, "node_id", n, "node_id").isEmpty() and v.count() == 12 and n.count() == 12
+    path = {r.node_id: r.path for r in n.collect()}
+    assert {(path[r.source_id], path[r.target_id]) for r in e.filter("kind = 'CONTAINS_FILE'").collect()} == {("Source/A/A.Build.cs", "Source/A/a.cpp"), ("Source/A/A.Build.cs", "Source/A/a.h"), ("Source/A/Sub/S.Build.cs", "Source/A/Sub/s.mm")}
+    assert {path[r.target_id] for r in e.filter("kind = 'DECLARES_TARGET'").collect()} == {"Source/G.Target.cs"}
+    assert {r.kind for r in n.collect()} == {"project_file", "module_rules_file", "source_file", "target_file", "plugin_file", "external_plugin", "external_module", "unresolved_include"}

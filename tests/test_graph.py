@@ -92,7 +92,7 @@ def test_blueprint_reachability(spark):
         ],
         f"object_path string, class string, pins array<{pin}>",
     )
-    assert rows(closure.semantic_nodes(df), "node", "semantic") == [("call", True), ("event", True), ("getter", True), ("knot", False)]
+    assert rows(closure.semantic_nodes(df), "node", "semantic") == [("call", True), ("event", False), ("getter", True), ("knot", False)]
 
 
 def test_validation_and_difference(spark):
@@ -158,3 +158,26 @@ def test_resolution(spark):
     base = spark.createDataFrame([("empty", "[]"), ("changed", "1")], "name string, value string")
     assert rows(resolve.property_delta(obs, base, ["name"]), "name", "comparison") == [("changed", "differs_from_default"), ("child", "baseline_property_missing"), ("empty", "matches_default")]
     assert resolve.deltas_only(resolve.property_delta(obs, None, ["name"])).count() == 0
+
+
+def test_scc_members_on_a_chain_of_components(spark):
+    pairs = [(f"n{i:03d}{x}", f"n{i:03d}{y}") for i in range(100) for x, y in ("ab", "ba")] + [(f"n{i:03d}a", f"n{i + 1:03d}a") for i in range(99)]
+    got = cycles.scc_members(spark.createDataFrame(pairs, "src string, dst string")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((f"n{i:03d}{x}", f"n{i:03d}a") for i in range(100) for x in "ab")
+    few = [p for p in pairs if p[0] < "n004"]
+    spread = cycles.scc_members(spark.createDataFrame(few, "src string, dst string"), large=0).collect()
+    assert sorted((r.node, r.component) for r in spread) == sorted((f"n{i:03d}{x}", f"n{i:03d}a") for i in range(4) for x in "ab")
+
+
+def test_cycles_of_a_graph_with_several_ways_out_and_its_limit(spark):
+    e = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("B", "D"), ("D", "B"), ("A", "D"), ("D", "E"), ("E", "F")], "src string, dst string")
+    assert [r.cycle for r in cycles.cycles(e).orderBy("cycle").collect()] == [["A", "B", "C", "A"], ["B", "D", "B"]]
+    assert {(r.node, r.component) for r in cycles.scc_members(e).collect()} == {(x, "A") for x in "ABCD"}
+    with pytest.raises(ValueError):
+        cycles.cycles(e, most=3)
+
+
+def test_breadth_first_ranks(spark):
+    e = spark.createDataFrame([("d", "a"), ("b", "a"), ("x", "b"), ("y", "d"), ("c", "d"), ("x", "d"), ("z", "x")], "src string, dst string")
+    got = closure.impact_ordered(e, "a", 3).orderBy("rank").collect()
+    assert [(r.node, r.depth, r["rank"]) for r in got] == [("b", 1, 1), ("d", 1, 2), ("x", 2, 3), ("c", 2, 4), ("y", 2, 5), ("z", 3, 6)]
