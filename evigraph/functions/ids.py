@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,12 +43,18 @@ def message_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.sha2(json_array(F.lit(kind), *parts), 256))
 
 
-@F.udf(T.StringType())
-def canonical_json(text: str | None) -> str | None:
-    """Nested JSON with sorted keys, compact, non-ASCII kept."""
-    if text is None:
-        return None
-    return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+def per_text(f):
+    """An Arrow UDF of a function over texts; null stays null."""
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f(x) for x in texts.to_pylist()], pa.string())
+
+    return run
+
+
+#: Nested JSON with sorted keys, compact, non-ASCII kept.
+canonical_json = per_text(lambda x: json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
 
 def fold(c: Column) -> Column:
@@ -55,7 +62,5 @@ def fold(c: Column) -> Column:
     return F.lower(c)
 
 
-@F.udf(T.StringType())
-def full_fold(text: str | None) -> str | None:
-    """Unicode case folding, for names where lower-casing is not enough."""
-    return text.casefold() if text is not None else None
+#: Unicode case folding, for names where lower-casing is not enough.
+full_fold = per_text(str.casefold)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text
+from .ids import per_text
 
 
 def walk(value, path: str = "$"):
@@ -71,10 +72,8 @@ def tagged(value, depth: int = 8, items: int = 1000, _seen: tuple = ()) -> dict:
     return {"kind": "text", "value": str(value)}
 
 
-@F.udf(T.StringType())
-def tag_json(text: str | None) -> str | None:
-    """JSON text to the JSON of its tagged union."""
-    return None if text is None else json.dumps(tagged(json.loads(text)), sort_keys=True, separators=(",", ":"))
+#: JSON text to the JSON of its tagged union.
+tag_json = per_text(lambda x: json.dumps(tagged(json.loads(x)), sort_keys=True, separators=(",", ":")))
 
 
 _PATH, _TAG = re.compile(text.OBJECT_PATH), re.compile(text.TAG)

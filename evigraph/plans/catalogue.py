@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with ``QUERIES`` (name to callable) and ``ORACLE`` (name to SQL).
-_MODULES: tuple[str, ...] = ("graph", "resolve", "texts")
+_MODULES: tuple[str, ...] = ("graph", "resolve", "texts", "facts")
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,14 +96,19 @@ _DOC = T.StructType([T.StructField("document", T.StringType()), T.StructField("d
 def read_json(df: DataFrame, content: str = "content", relaxed: bool = False) -> DataFrame:
     """``df`` with document (canonical JSON text), duplicates and error; a bad file is a row with an error, not a failed job."""
 
-    @F.udf(_DOC)
-    def parse(b):
+    def one(b) -> dict:
         try:
             text = bytes(b).decode("utf-8-sig")
             out, twice = relaxed_json(text) if relaxed else (strict_json(text), [])
-            return json.dumps(out, ensure_ascii=False, sort_keys=True), twice, None
-        except (ValueError, UnicodeDecodeError) as e:
-            return None, [], str(e)
+            return {"document": json.dumps(out, ensure_ascii=False, sort_keys=True), "duplicates": twice, "error": None}
+        except (ValueError, UnicodeDecodeError, TypeError) as e:
+            return {"document": None, "duplicates": [], "error": str(e)}
+
+    kind = pa.struct([("document", pa.string()), ("duplicates", pa.list_(pa.struct([("pointer", pa.string()), ("count", pa.int32())]))), ("error", pa.string())])
+
+    @F.arrow_udf(_DOC)
+    def parse(contents: pa.Array) -> pa.Array:
+        return pa.array([one(b) for b in contents.to_pylist()], kind)
 
     return df.withColumn("json", parse(content)).select(*[c for c in df.columns if c != content], "json.*")
 
