@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable
 
@@ -81,6 +82,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def give_back() -> None:
+    """Hand memory that a task is done with back to the system: workers are used again, and what one stage freed must not count in the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it keeps what it has
+        pass
+
+
 #: Rows of a batch that are turned into Python objects at a time.
 ROWS = 128
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, give_back, materialise, table
 from .components import components
 from .textarrays import U, Block, blocks, mix, rolling
 
@@ -112,6 +112,16 @@ def _digests(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "tk", "text").mapInArrow(run, _DIGEST.format(id=kind))
 
 
+def _tidied(run):
+    """``run`` over the batches of a task, which gives its memory back at the end."""
+
+    def all_of(batches):
+        yield from run(batches)
+        give_back()
+
+    return all_of
+
+
 class _Seen:
     """Signatures met in a task; forgetting them costs repeated rows, nothing else."""
 
@@ -148,7 +158,7 @@ def _prefix_counts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         if held:
             yield told()
 
-    return docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(_tidied(run), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def _common(docs: DataFrame, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +205,7 @@ def _index(docs: DataFrame, k: int, num: int, den: int, common) -> DataFrame:
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(U).view(np.int64) if i == 0 else np.concatenate(c).astype(np.int64)) for i, c in enumerate(cols)], ["token", "s1", "s2", "meta"])
 
-    return docs.select("text").mapInArrow(run, _INDEX)
+    return docs.select("text").mapInArrow(_tidied(run), _INDEX)
 
 
 _FOUND = "kind int, token long, x1 long, x2 long, y1 long, y2 long, l int"
@@ -239,7 +249,7 @@ def _hot(index: DataFrame) -> DataFrame:
         if held:
             yield told()
 
-    return index.select("token").mapInArrow(run, "token long").distinct()
+    return index.select("token").mapInArrow(_tidied(run), "token long").distinct()
 
 
 def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
@@ -313,7 +323,7 @@ def _sets_of(docs: DataFrame, need: DataFrame, classes: DataFrame, k: int) -> Da
                         ["s1", "s2", "tokens"],
                     )
 
-    found = own.select("text").mapInArrow(run, "s1 long, s2 long, tokens array<long>")
+    found = own.select("text").mapInArrow(_tidied(run), "s1 long, s2 long, tokens array<long>")
     out = materialise(found.join(need, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.first("tokens").alias("tokens")), "sets")
     discard(ids)
     return out
@@ -328,20 +338,20 @@ def link_block(s1, s2, tokens: list[np.ndarray], num: int, den: int) -> list[tup
     _, column, many = np.unique(flat, return_inverse=True, return_counts=True)
     shared = many[column] > 1
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    inter = np.zeros((m, m), np.float32)
-    width = 2048
+    inter, part = np.zeros((m, m), np.float32), np.empty((m, m), np.float32)
+    width = 1024
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [c, c + width])
         a = np.zeros((m, width), np.float32)
         a[owner[lo:hi], column[lo:hi] - c] = 1
-        inter += a @ a.T
+        inter += np.matmul(a, a.T, out=part)
     # inter * den >= num * (n + n' - inter), in whole numbers that doubles hold exactly
     linked = np.empty((m, m), bool)
     for i in range(0, m, 256):
         linked[i : i + 256] = inter[i : i + 256].astype(float) * (den + num) >= float(num) * (n[i : i + 256, None] + n[None, :])
-    del inter
+    del inter, part
     np.fill_diagonal(linked, True)
     label = np.arange(m)
     while True:
@@ -364,6 +374,7 @@ def _met(dealt: DataFrame, sets_: DataFrame, num: int, den: int) -> DataFrame:
             values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             rows = link_block(t.column("s1").to_numpy(), t.column("s2").to_numpy(), [values[a:b] for a, b in zip(at[:-1], at[1:])], num, den)
         cols = list(zip(*rows)) if rows else [(), (), (), ()]
+        give_back()
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("x1", "x2", "y1", "y2"), cols)})
 
     own = dealt.select("token", "lo", "hi", "s1", "s2").join(sets_, ["s1", "s2"])

@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Model files over this are refused: the file travels with every task.
 MODEL_LIMIT = 64 << 20
 #: Chunks remembered in one generation, and characters of a prefix whose state is remembered.
-MEMORY, PREFIX = 400_000, 6
+MEMORY, PREFIX = 160_000, 6
 #: Pieces and characters are numbered below this; an arc of the bigram acceptor is one number.
 ARC, ONE = 1 << 22, (1,)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
