@@ -21,6 +21,8 @@ from evigraph.llm.common import discard, materialise, table
 
 #: Words of a shingle, and the similarity as a fraction.
 SHINGLE, SIMILAR = 5, (80, 100)
+#: Chunks that an encoding worker remembers: fewer than alone, as workers have other stages behind them.
+REMEMBERED = 160_000
 MODEL = sp_wfst.MODEL
 
 
@@ -43,7 +45,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = sp_wfst.encode_documents(docs, sp_wfst.read_model(MODEL), keep=["doc_id", "lang", "source"])
+    out = sp_wfst.encode_documents(docs, sp_wfst.read_model(MODEL), keep=["doc_id", "lang", "source"], memory=REMEMBERED)
     return out.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids")
 
 

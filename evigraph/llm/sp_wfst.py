@@ -28,6 +28,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Model files over this are refused: the file travels with every task.
 MODEL_LIMIT = 64 << 20
 #: Chunks remembered in one generation, and characters of a prefix whose state is remembered.
-MEMORY, PREFIX = 160_000, 6
+MEMORY, PREFIX = 400_000, 6
 #: Pieces and characters are numbered below this; an arc of the bigram acceptor is one number.
 ARC, ONE = 1 << 22, (1,)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -115,10 +116,30 @@ def _character_map(blob: bytes) -> dict[str, str]:
     return out
 
 
+class _Memory(dict):
+    """Shortest paths of the chunks met, in two generations: what is used again outlives one."""
+
+    def __init__(self, path, most: int):
+        super().__init__()
+        self.path, self.most, self.old = path, most, {}
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.path(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = got
+        return got
+
+
 class Machine:
-    """The compiled transducer of one model."""
+    """The compiled transducer of one model; ``memory`` bounds the chunks, arcs and prefixes that it remembers."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, memory: int = MEMORY):
+        self.memory = memory
         self.pieces: list[str] = []
         self.score: list[float] = []
         self.kind: list[int] = []
@@ -168,8 +189,7 @@ class Machine:
         self._apart: dict[int, bool] = {}
         self._last: dict[str, int] = {}
         self._bytes: dict[int, tuple[int, ...]] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
+        self._known = _Memory(self.path, memory)
         after = {b for p in self.lexicon for a, b in zip(p, p[1:]) if a.isalpha()}
         cut = "".join(re.escape(c) for c in sorted({c for p in self.lexicon for c in p} - after) if not c.isalnum() and c not in f"_{META}")
         run = f"(?:[^{META}{cut}]+|(?<![^\\W\\d_])[{cut}])" if cut else f"[^{META}]"
@@ -233,7 +253,7 @@ class Machine:
 
     def apart(self, key: int) -> bool:
         """Whether the bigram acceptor has the arc ``key``: from state ``key // ARC - 1`` (-1 at the start, else the last piece) by piece ``key % ARC``."""
-        if len(self._apart) > 2 * MEMORY:
+        if len(self._apart) > 2 * self.memory:
             self._apart.clear()
         a, b = key // ARC - 1, self._text(key % ARC)
         got = self._apart[key] = self._merged(b) == [b] if a < 0 else self._merged(self._text(a) + b) == [self._text(a), b]
@@ -249,7 +269,7 @@ class Machine:
         """
         last, lexicon, ends, table, beyond = self._last, self.lexicon, self.ends, self._apart, len(self.pieces)
         n = len(chunk)
-        if len(last) > MEMORY:
+        if len(last) > self.memory:
             last.clear()
         at: list[int | None] = [None] * (n + 1)  # the last piece on the path into each state
         at[0] = -1
@@ -325,25 +345,7 @@ class Machine:
         return got
 
     def encode(self, text: str | None) -> list[int]:
-        known, out, meet = self._known, [], self._meet
-        for chunk in self._chunks.findall(self.normalise(text or "")):
-            got = known.get(chunk)
-            if got is None:
-                got = meet(chunk)
-                known = self._known
-            out += got
-        return out
-
-    def _meet(self, chunk: str) -> tuple[int, ...]:
-        """The path of a chunk that the young generation lacks; what is used again outlives a generation."""
-        got = self._old.get(chunk)
-        if got is None:
-            got = self.path(chunk)
-        if len(chunk) <= 64:
-            if len(self._known) >= MEMORY:
-                self._old, self._known = self._known, {}
-            self._known[chunk] = got
-        return got
+        return list(chain.from_iterable(map(self._known.__getitem__, self._chunks.findall(self.normalise(text or "")))))
 
     def decode(self, ids: list[int]) -> str:
         plain = self.plain
@@ -379,20 +381,20 @@ def read_model(path: str = MODEL) -> bytes:
     return model
 
 
-_machine: tuple[int, Machine] | None = None
+_machine: tuple[tuple[int, int], Machine] | None = None
 
 
-def _compiled(model: bytes) -> Machine:
+def _compiled(model: bytes, memory: int = MEMORY) -> Machine:
     global _machine
-    if _machine is None or _machine[0] != hash(model):
-        _machine = hash(model), Machine(model)
+    if _machine is None or _machine[0] != (hash(model), memory):
+        _machine = (hash(model), memory), Machine(model, memory)
     return _machine[1]
 
 
-def encode_documents(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", check: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def encode_documents(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", check: str | None = None, keep: list[str] | None = None, memory: int = MEMORY) -> DataFrame:
     """Columns ``keep`` of ``df`` (all, if none are named) and ``ids`` (array<int>); with ``check`` also whether decoding gives the text back.
 
-    One pass, no shuffle; rows go back in small batches, as ids take more room than text. ``ids`` and ``check`` replace
+    One pass, no shuffle; rows go back in small batches, as ids take more room than text. ``memory`` bounds what a worker remembers. ``ids`` and ``check`` replace
     columns of these names.
     """
     taken = {x.lower() for x in (ids, check) if x}
@@ -402,7 +404,7 @@ def encode_documents(df: DataFrame, model: bytes, text: str = "text", ids: str =
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType(), True))] + ([T.StructField(check, T.BooleanType())] if check else []))
 
     def run(batches):
-        m = _compiled(shared.value)
+        m = _compiled(shared.value, memory)
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 b = whole.slice(i, ROWS)

@@ -23,11 +23,8 @@ def test_same_ids_as_the_library(both):
             assert ours.decode(ids) == s
 
 
-def test_long_run_and_cache_turnover(both, monkeypatch):
-    import evigraph.llm.sp_wfst as mod
-
-    monkeypatch.setattr(mod, "MEMORY", 3)
-    ours, theirs = both
+def test_long_run_and_cache_turnover(both):
+    ours, theirs = Machine(read_model(), memory=3), both[1]
     for s in ("ab" * 3000, " " * 500 + "x", "one two three four five six one two"):
         assert ours.encode(s) == theirs.encode(s)
 
