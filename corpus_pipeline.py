@@ -7,7 +7,9 @@
 5. ``encode``: SentencePiece ids of the text.
 
 Each function takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. Nulls in any column
-are kept as they are; null text counts as empty. An empty table passes through.
+are kept as they are; null text counts as empty. An empty table passes through. Repeated rows (equal id and text) are scored and redacted alike, and one of
+them stays after stage 2; of a group the least doc_id stays, and of several texts with that id one row each. Very long texts are taken whole; further columns pass through
+up to stage 4.
 """
 
 from __future__ import annotations
