@@ -14,18 +14,19 @@ def _mark(e: DataFrame) -> tuple:
 
 
 def _large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every neighbour above a node tied to the least of its neighbours and itself."""
+    """Every neighbour above a node tied to the least of its neighbours and itself; and the table of the least ones, which is written."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialise(both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m")), "least")
-    # the least ones are a written table, so a hub's rows can be split among tasks when they meet it
-    return materialise(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges"), least
+    # as they are a written table, a hub's rows can be split among tasks when they meet it
+    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), least
 
 
-def _small(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small(e: DataFrame) -> DataFrame:
+    """Every neighbour below a node tied to the least of them; hubs are the least nodes of their edges by now, so no node has many."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
     rest = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return materialise(rest.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges"), least
+    return rest.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -40,10 +41,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if before[0] == 0:
             return e
-        large, one = _large(e)
-        after, two = _small(large)
-        for gone in (e, large, one, two):
-            discard(gone)
+        large, least = _large(e)
+        after = materialise(_small(large), "edges")
+        discard(e), discard(least)
         e, now = after, _mark(after)
         if now == before:
             return e
